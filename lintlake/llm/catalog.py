@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from lintlake.llm import warc
+from lintlake.llm import bpe, embed, warc
 
-QUERIES = {"op1_warc_transactions": warc.op1_warc_transactions}
-ORACLES = {"op1_warc_transactions": warc.ORACLE_OP1}
+QUERIES = {
+    "op1_warc_transactions": warc.op1_warc_transactions,
+    "op3_embedding_near_dedup": embed.op3_embedding_near_dedup,
+    "op7_bpe_roundtrip": bpe.op7_bpe_roundtrip,
+}
+ORACLES = {
+    "op1_warc_transactions": warc.ORACLE_OP1,
+    "op3_embedding_near_dedup": embed.ORACLE_OP3,
+}
