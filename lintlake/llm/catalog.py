@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from lintlake.llm import bpe, embed, warc
+from lintlake.llm import bpe, decontam, embed, shingles, toxicity, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
     "op3_embedding_near_dedup": embed.op3_embedding_near_dedup,
+    "op5_benchmark_decontamination": decontam.op5_benchmark_decontamination,
+    "op6_ngram_jaccard_join": shingles.op6_ngram_jaccard_join,
     "op7_bpe_roundtrip": bpe.op7_bpe_roundtrip,
+    "op10_toxicity_crf": toxicity.op10_toxicity_crf,
 }
 ORACLES = {
     "op1_warc_transactions": warc.ORACLE_OP1,
     "op3_embedding_near_dedup": embed.ORACLE_OP3,
+    "op5_benchmark_decontamination": decontam.ORACLE_OP5,
 }

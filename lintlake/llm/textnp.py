@@ -87,7 +87,14 @@ def token_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """64-bit hashes of the given byte spans; ``fold`` lower-cases A-Z. Spans must be sorted by start."""
-    out = np.empty(len(starts), np.uint64)
+    return part_hashes(buf, starts, ends, [(starts, ends)], fold)[0]
+
+
+def part_hashes(
+    buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], fold: bool = True
+) -> list[np.ndarray]:
+    """Hashes of several parts (starts, ends) of each span, for instance its whole and its first bytes."""
+    out = [np.empty(len(starts), np.uint64) for _ in parts]
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + BATCH_BYTES, "right")))
@@ -98,9 +105,10 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
         value *= powers(len(part))
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(value, out=total[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        h = (total[e] - total[s]) * powers(len(part) + 1, _INVERSE)[s]
-        out[i:j] = mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        inverse = powers(len(part) + 1, _INVERSE)
+        for h, (a, b) in zip(out, parts):
+            s, e = a[i:j] - lo, b[i:j] - lo
+            h[i:j] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         i = j
     return out
 
