@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lintlake.llm import bpe, decontam, embed, shingles, toxicity, warc
+from lintlake.llm import bpe, decontam, embed, lines, shingles, toxicity, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_benchmark_decontamination": decontam.op5_benchmark_decontamination,
     "op6_ngram_jaccard_join": shingles.op6_ngram_jaccard_join,
     "op7_bpe_roundtrip": bpe.op7_bpe_roundtrip,
+    "op9_line_dedup": lines.op9_line_dedup,
     "op10_toxicity_crf": toxicity.op10_toxicity_crf,
 }
 ORACLES = {

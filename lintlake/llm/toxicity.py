@@ -342,6 +342,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start:long,end:long,p:double>>")
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose text is not predicted toxic, all columns as they are, without a shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        for part, buf, offsets in text_batches(batches, "text"):
+            _, _, first, features = token_features(buf, offsets)
+            at, p = marginals(model, _known(model.features, features), first)
+            yield part.filter(pa.array(row_scores(model, at, p, first) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
