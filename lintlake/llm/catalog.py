@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lintlake.llm import bpe, decontam, embed, lines, shingles, toxicity, warc
+from lintlake.llm import bpe, decontam, embed, lines, repeats, shingles, toxicity, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
+    "op2_suffix_array_dedup": repeats.op2_suffix_array_dedup,
     "op3_embedding_near_dedup": embed.op3_embedding_near_dedup,
     "op5_benchmark_decontamination": decontam.op5_benchmark_decontamination,
     "op6_ngram_jaccard_join": shingles.op6_ngram_jaccard_join,
