@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lintlake.llm import bpe, decontam, embed, lines, repeats, shingles, toxicity, warc
+from lintlake.llm import bpe, decontam, embed, kneser, lines, repeats, shingles, toxicity, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_benchmark_decontamination": decontam.op5_benchmark_decontamination,
     "op6_ngram_jaccard_join": shingles.op6_ngram_jaccard_join,
     "op7_bpe_roundtrip": bpe.op7_bpe_roundtrip,
+    "op8_kneser_ney_scores": kneser.op8_kneser_ney_scores,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_toxicity_crf": toxicity.op10_toxicity_crf,
 }

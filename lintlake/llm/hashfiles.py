@@ -72,6 +72,7 @@ class HashFiles:
     bits: int
     sizes: dict[int, int]
     values: dict[str, str] = field(default_factory=dict)
+    total: int = 0  # of what the reduction summed, if anything
 
     def count(self) -> int:
         return sum(self.sizes.values())
@@ -122,21 +123,24 @@ def unpack(table: pa.Table, *dtypes: str) -> list[np.ndarray]:
 
 
 def build(packed: DataFrame, bits: int, make, label: str, values: dict[str, str] | None = None) -> HashFiles:
-    """Bring the packed rows of each shard together, let ``make(table) -> (keys, {name: values})`` reduce them, write."""
+    """Bring the packed rows of each shard together, let ``make(table) -> (keys, {name: values})`` reduce them, write.
+
+    ``make`` may return a third item, a whole number, which is summed over the shards.
+    """
     values = values or {}
     uri = scratch_path(packed.sparkSession, label)
 
     def reduce(table: pa.Table) -> pa.Table:
         p = table.column("p")[0].as_py()
-        keys, columns = make(table)
+        keys, columns, *extra = make(table)
         if len(keys):
             write_array(f"{uri}/keys-{p}", keys.astype("<u8"))
             for name, kind in values.items():
                 write_array(f"{uri}/{name}-{p}", columns[name].astype(kind))
-        return pa.table({"p": pa.array([p], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
+        return pa.table({"p": pa.array([p], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "x": pa.array([int(extra[0]) if extra else 0], pa.int64())})
 
-    sizes = {r.p: r.n for r in packed.groupBy("p").applyInArrow(reduce, "p int, n long").collect()}
-    return HashFiles(uri, bits, sizes, values)
+    rows = packed.groupBy("p").applyInArrow(reduce, "p int, n long, x long").collect()
+    return HashFiles(uri, bits, {r.p: r.n for r in rows}, values, sum(r.x for r in rows))
 
 
 def distinct_files(keys: DataFrame, bits: int, label: str) -> HashFiles:
