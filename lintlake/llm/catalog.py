@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lintlake.llm import bpe, decontam, embed, kneser, lines, repeats, shingles, toxicity, warc
+from lintlake.llm import bpe, decontam, embed, kneser, langid, lines, repeats, shingles, toxicity, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
     "op2_suffix_array_dedup": repeats.op2_suffix_array_dedup,
     "op3_embedding_near_dedup": embed.op3_embedding_near_dedup,
+    "op4_language_fusion": langid.op4_language_fusion,
     "op5_benchmark_decontamination": decontam.op5_benchmark_decontamination,
     "op6_ngram_jaccard_join": shingles.op6_ngram_jaccard_join,
     "op7_bpe_roundtrip": bpe.op7_bpe_roundtrip,
