@@ -226,7 +226,7 @@ def scan_secret_history(patches: DataFrame) -> DataFrame:
 
 
 #: Headers a response must have.
-REQUIRED_HEADERS = ["content-security-policy", "x-content-type-options", "strict-transport-security", "x-frame-options"]
+REQUIRED_HEADERS = ["content-security-policy", "strict-transport-security", "x-content-type-options", "referrer-policy"]
 
 
 def missing_security_headers(responses: DataFrame, required: list[str] | None = None) -> DataFrame:
