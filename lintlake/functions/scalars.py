@@ -55,7 +55,7 @@ def redact(text: Column) -> Column:
 
 
 def is_placeholder(value: Column) -> Column:
-    return F.trim(F.lit("\"'"), value).rlike(K.PLACEHOLDER)
+    return F.trim(value, F.lit("\"'")).rlike(K.PLACEHOLDER)
 
 
 def rule_family(rule_id: Column) -> Column:

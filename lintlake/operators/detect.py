@@ -35,11 +35,6 @@ def scan_heuristics(lines: DataFrame, keys: tuple[str, ...] = ("project_id",)) -
     return as_findings(_matched(lines, tests).withColumn("evidence", F.col("text")), "heuristics", *keys)
 
 
-def _value(text: Column, sign: str) -> Column:
-    """What follows the first ``sign``."""
-    return strip(F.substring(text, F.instr(text, sign) + 1, 1 << 30))
-
-
 def scan_dockerfile(lines: DataFrame) -> DataFrame:
     """Line rules of Dockerfiles."""
     rows = lines.withColumn("s", strip(F.col("text"))).where("s <> '' and not startswith(s, '#')")
@@ -71,7 +66,7 @@ def dockerfile_missing_user(lines: DataFrame) -> DataFrame:
 def scan_compose(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("s", strip(F.col("text")))
     s = F.col("s")
-    value = F.trim(F.lit("\"'"), strip(F.expr("substring(s, instr(s, ':') + 1)")))
+    value = F.trim(strip(F.expr("substring(s, instr(s, ':') + 1)")), F.lit("\"'"))
     tests = [
         (s.rlike(r"(?iU)^privileged\s*:\s*true\b"), _rule("compose-privileged")),
         (s.rlike(r"(?i)^network_mode\s*:\s*(?:host|['\"]host['\"])\s*$"), _rule("compose-host-network")),
@@ -104,7 +99,6 @@ def k8s_segments(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("segment", F.sum(F.col("opens").cast("int")).over(so_far))
     event = F.when(F.col("head"), "head").when(F.col("opens"), "open")
     rows = rows.withColumn("inside", F.coalesce(F.last(event, ignorenulls=True).over(so_far) == "open", F.lit(False)))
-    # the line on which the open container is judged, if it is judged at all
     return rows
 
 
