@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lintlake.functions import catalog as K
 from lintlake.functions.scalars import fp_asset, has_sink, has_source, is_config_file, literal_map, rule_family
 from lintlake.plans.graph import connected_components
+from lintlake.plans.lineage import cut
 
 # What a link is called, and what a group does not say.
 SHARED_FILE, SHARED_FAMILY = "shared file", "shared rule family"
@@ -62,46 +63,46 @@ def components(findings: DataFrame) -> DataFrame:
     return labelled.join(sizes, "component")
 
 
-def _cross(rows: DataFrame, keys: list[str], a: str, b: str, name: str) -> DataFrame:
-    """Sum over groups of (findings with flag a) * (findings with flag b), by component."""
-    by = rows.groupBy("component", *keys).agg(F.sum(F.col(a) * F.col("n")).alias("x"), F.sum(F.col(b) * F.col("n")).alias("y"), F.sum(F.col(a) * F.col(b) * F.col("n")).alias("both"))
-    return by.groupBy("component").agg(F.sum(F.col("x") * F.col("y") - F.col("both")).alias(name))
+def _pairs_outside(nodes: DataFrame, flags: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Per component and name: ordered pairs of different findings (first flag, second flag) that differ in file and family.
 
-
-def _pairs_outside(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """Ordered pairs of different findings (a, b) of a component that differ in file and in family."""
-    total = _cross(rows, [], a, b, "n0")
-    for keys, n in ((["file"], "n1"), (["family"], "n2"), (["file", "family"], "n3")):
-        total = total.join(_cross(rows, keys, a, b, n), "component")
-    return total.select("component", (F.col("n0") - F.col("n1") - F.col("n2") + F.col("n3")).alias(name))
+    Pairs in all, less those of one file, less those of one family, and back those of one file and family; each
+    count is a sum of products of sums, so no pair is formed.
+    """
+    n = F.col("n")
+    total = None
+    for keys, sign in (([], 1), (["file"], -1), (["family"], -1), (["file", "family"], 1)):
+        sums = []
+        for name, (a, b) in flags.items():
+            x, y = a.cast("long"), b.cast("long")
+            sums += [F.sum(x * n).alias(f"{name}_x"), F.sum(y * n).alias(f"{name}_y"), F.sum(x * y * n).alias(f"{name}_b")]
+        by = nodes.groupBy("component", *keys).agg(*sums)
+        part = by.select("component", *[(F.lit(sign) * (F.col(f"{k}_x") * F.col(f"{k}_y") - F.col(f"{k}_b"))).alias(k) for k in flags])
+        total = part if total is None else total.unionByName(part)
+    return total.groupBy("component").agg(*[F.sum(k).alias(k) for k in flags])
 
 
 def group_reasons(nodes: DataFrame) -> DataFrame:
     """``component, signals``: the sorted kinds of link of each group, each pair counting for its first kind."""
     files = nodes.groupBy("component", "file").agg(F.sum("n").alias("k")).groupBy("component").agg(F.max("k").alias("by_file"))
     fams = nodes.groupBy("component", "family").agg(F.countDistinct("file").alias("k")).groupBy("component").agg(F.max("k").alias("by_family"))
-    st = _pairs_outside(nodes, "s", "t", "n_st")
     # configuration links are the pairs with evidence, one of a configuration file, that are no source/sink pairs:
-    # over the four kinds (s, t) of both ends, those kinds that do not link
-    rows = nodes.withColumn("kind", F.col("s") * 2 + F.col("t"))
-    cfg = None
-    flat = rows
-    for i in range(4):
-        flat = flat.withColumn(f"ce{i}", ((F.col("kind") == i) & (F.col("e") == 1) & (F.col("c") == 1)).cast("int"))
-        flat = flat.withColumn(f"e{i}", ((F.col("kind") == i) & (F.col("e") == 1)).cast("int"))
+    # over the kinds (source, sink) of both ends, those that do not link
+    kind = F.col("s") * 2 + F.col("t")
+    evident = F.col("e") == 1
+    flags = {"st": (F.col("s") == 1, F.col("t") == 1)}
     for i in range(4):
         for j in range(4):
-            if (i & 2 and j & 1) or (j & 2 and i & 1):
-                continue
-            part = _pairs_outside(flat, f"ce{i}", f"e{j}", "n_cfg")
-            cfg = part if cfg is None else cfg.unionByName(part)
-    cfg = cfg.groupBy("component").agg(F.sum("n_cfg").alias("n_cfg"))
-    every = files.join(fams, "component").join(st, "component").join(cfg, "component")
+            if not ((i & 2 and j & 1) or (j & 2 and i & 1)):
+                flags[f"c{i}{j}"] = ((kind == i) & evident & (F.col("c") == 1), (kind == j) & evident)
+    counts = _pairs_outside(nodes, flags)
+    cfg = sum((F.col(k) for k in flags if k != "st"), F.lit(0))
+    every = files.join(fams, "component").join(counts, "component")
     signals = F.array_sort(
         F.array_compact(
             F.array(
                 F.when(F.col("by_file") > 1, SHARED_FILE), F.when(F.col("by_family") > 1, SHARED_FAMILY),
-                F.when(F.col("n_st") > 0, SOURCE_SINK), F.when(F.col("n_cfg") > 0, CONFIG_CODE),
+                F.when(F.col("st") > 0, SOURCE_SINK), F.when(cfg > 0, CONFIG_CODE),
             )
         )
     )
@@ -110,7 +111,7 @@ def group_reasons(nodes: DataFrame) -> DataFrame:
 
 def correlate_findings(findings: DataFrame, order: list[str]) -> DataFrame:
     """One row for each group, its members in the given order."""
-    nodes = components(findings)
+    nodes = cut(components(findings))
     reasons = group_reasons(nodes)
     members = _flags(findings).join(nodes.select(*NODE, "component"), NODE)
     rank = F.coalesce(F.try_element_at(literal_map({s: 4 - i for i, s in enumerate(K.SEVERITIES)}), F.upper("severity")), F.lit(0))
