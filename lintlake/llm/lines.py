@@ -137,7 +137,7 @@ def meeting_lines(docs: DataFrame, tau: int, bits: int) -> DataFrame:
             if len(s):
                 held.append(segment_keys(hasher, s, n, h, tau))
                 size += len(held[-1][0])
-            if size > 1_500_000:
+            if size > 500_000:
                 yield from flush()
                 held, size = [], 0
         if held:
@@ -300,7 +300,7 @@ def verified_edges(met: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
         for batch in batches:
             held.append(batch)
             table = pa.Table.from_batches(held)
-            if table.num_rows < 4000:
+            if table.num_rows < 2000:
                 continue
             key, ta, tb = (table.column(x).to_numpy() for x in ("key", "ta", "tb"))
             other = np.flatnonzero((key != key[-1]) | (ta != ta[-1]) | (tb != tb[-1]))
@@ -366,11 +366,9 @@ def dedup_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     plain = checked(docs.where("doc_id is not null and text is not null").select("doc_id", "text"))
     plain = plain.dropDuplicates(["doc_id"]) if _repeats(docs) else plain
     again = duplicate_lines(plain, tau).withColumnRenamed("doc_id", "__id").withColumnRenamed("dup_lines", "__dup")
+    again = again.withColumn("__gone", F.transform("__dup", lambda d: d["line"]))
     joined = docs.join(again, docs["doc_id"] == F.col("__id"), "left")
-    parts = F.split("text", "\n")
-    kept = F.array_join(
-        F.filter(parts, lambda _, i: ~F.array_contains(F.transform("__dup", lambda d: d["line"]), i)), "\n"
-    )
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     return joined.select(
         *[docs[c] for c in docs.columns if c != "text"],
         F.when(F.col("__dup").isNotNull(), kept).otherwise(F.col("text")).alias("text"),

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once by the vectorised helpers; a longer text makes a batch of its own.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 1 << 20
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
