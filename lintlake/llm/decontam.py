@@ -33,7 +33,8 @@ UNITS = (
 #: (pattern, replacement with $1) in order; also used, in its own dialect, by the SQL form.
 STEPS = [
     (rf"(^|[.!?:;][\"')\]]*{_SPACE}+)(\p{{Lu}})", "$1\u0004$2"),  # a sentence's first word is not a name
-    (rf"(^|{_SPACE})\p{{Lu}}[\p{{L}}\p{{M}}'’-]*", f"$1{NAME}"),
+    # a word in capitals throughout is none either
+    (rf"(^|{_SPACE})\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}'’-]*", f"$1{NAME}"),
     (r"\p{Nd}+(?:[.,:/]\p{Nd}+)*", NUMBER),
 ]
 LATE_STEPS = [
@@ -58,14 +59,27 @@ def template(text: Column) -> Column:
     return words(out)
 
 
-def _windows(tokens: Column) -> Column:
-    """(position from 0, hash) of the windows; a shorter list of tokens has one, of all of them."""
+def _bare(token: Column) -> Column:
+    return F.regexp_replace(token, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")
+
+
+def spelled(tokens: Column, raw: Column) -> Column:
+    """Template tokens with the names themselves, folded, in place of their placeholder."""
+    return F.transform(tokens, lambda t, i: F.when(t.contains(NAME), F.lower(_bare(F.get(raw, i)))).otherwise(t))
+
+
+def _windows(tokens: Column, plain: Column) -> Column:
+    """(position from 0, hash) of the windows; a shorter list of tokens has one, of all of them.
+
+    A window with names comes a second time with the names spelled out, so that a text whose words are
+    capitalised for another reason (a title, for instance) is still found where it is equal.
+    """
     n = F.size(tokens)
-    last = F.greatest(n - WIDTH, F.lit(0))
-    return F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(tokens, i + 1, WIDTH)).alias("hash")),
-    )
+    at = F.sequence(F.lit(0), F.greatest(n - WIDTH, F.lit(0)))
+    one = lambda of: lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(of, i + 1, WIDTH)).alias("hash"))
+    named = F.filter(at, lambda i: F.exists(F.slice(tokens, i + 1, WIDTH), lambda t: t.contains(NAME)))
+    none = F.slice(F.transform(at, one(tokens)), 1, 0)
+    return F.concat(F.transform(at, one(tokens)), F.when(F.exists(tokens, lambda t: t.contains(NAME)), F.transform(named, one(plain))).otherwise(none))
 
 
 def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +92,8 @@ def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
         .where("size(item_tokens) > 0")
     )
     literal = lambda t: ~t.isin(NAME, NUMBER, UNIT)
-    each = base.select("item_id", "item_tokens", F.explode(_windows(F.col("item_tokens"))).alias("w")).select(
+    both = base.withColumn("plain", spelled(F.col("item_tokens"), F.col("item_raw")))
+    each = both.select("item_id", "item_tokens", F.explode(_windows(F.col("item_tokens"), F.col("plain"))).alias("w")).select(
         "item_id", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"),
         F.size(F.filter(F.slice("item_tokens", F.col("w.pos") + 1, WIDTH), literal)).alias("literals"),
         F.size("item_tokens").alias("item_len"),
@@ -98,7 +113,8 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(
         "text <> ''"
     ).select("doc_id", words(F.col("text")).alias("raw"), template(F.col("text")).alias("tokens"))
-    each = tokens.select("doc_id", "raw", F.explode(_windows(F.col("tokens"))).alias("w"))
+    tokens = tokens.withColumn("plain", spelled(F.col("tokens"), F.col("raw")))
+    each = tokens.select("doc_id", "raw", F.explode(_windows(F.col("tokens"), F.col("plain"))).alias("w"))
     if small:
         hits = each.join(F.broadcast(wanted), F.col("w.hash") == F.col("hash"))
         hits = hits.select("doc_id", "item_id", "item_pos", F.col("w.pos").alias("pos"), F.slice("raw", F.col("w.pos") + 1, WIDTH).alias("vals"))
@@ -128,14 +144,13 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
             )
         )
     )
-    bare = lambda v: F.regexp_replace(v, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")
     slots = F.array_distinct(
         F.transform(
             F.filter("spots", lambda s: F.element_at("item_tokens", s["at"] + 1).rlike("[\u0001\u0002\u0003]")),
             lambda s: F.struct(
                 F.element_at("item_tokens", s["at"] + 1).alias("kind"),
-                bare(F.element_at("item_raw", s["at"] + 1)).alias("was"),
-                bare(s["val"]).alias("now"),
+                _bare(F.element_at("item_raw", s["at"] + 1)).alias("was"),
+                _bare(s["val"]).alias("now"),
             ),
         )
     )
@@ -178,16 +193,20 @@ def _sql_words(text: str) -> str:
 
 _BARE = r"regexp_replace({}, '^[\p{{P}}\p{{S}}]+|[\p{{P}}\p{{S}}]+$', '', 'g')"
 
+_SPELLED = f"list_transform(range(1, len(tok) + 1), lambda k: CASE WHEN contains(tok[k], chr(1)) THEN lower({_BARE.format('raw[k]')}) ELSE tok[k] END)"
+
 ORACLE_OP5 = f"""
 WITH items AS (SELECT item_id, list_transform({_sql_words('text')}, lambda w: lower(w)) AS raw, {_sql_template('text')} AS tok
                FROM benchmark WHERE item_id IS NOT NULL),
-iw AS (SELECT item_id, i AS item_pos, len(tok) AS n, array_to_string(list_slice(tok, i + 1, i + {WIDTH}), ' ') AS w,
+iw AS (SELECT item_id, i AS item_pos, len(tok) AS n, array_to_string(list_slice(say, i + 1, i + {WIDTH}), ' ') AS w,
        len(list_filter(list_slice(tok, i + 1, i + {WIDTH}), lambda t: NOT (t IN (chr(1), chr(2), chr(3))))) AS literals
-       FROM (SELECT *, unnest(range(0, greatest(len(tok) - {WIDTH}, 0) + 1)) AS i FROM items WHERE len(tok) > 0)),
+       FROM (SELECT *, unnest(range(0, greatest(len(tok) - {WIDTH}, 0) + 1)) AS i FROM
+             (SELECT *, tok AS say FROM items UNION ALL SELECT *, {_SPELLED} FROM items) WHERE len(tok) > 0)),
 d AS (SELECT doc_id, {_sql_words('text')} AS raw, {_sql_template('text')} AS tok FROM documents WHERE coalesce(text, '') <> ''),
-dw AS (SELECT doc_id, i AS pos, array_to_string(list_slice(tok, i + 1, i + {WIDTH}), ' ') AS w,
+dw AS (SELECT doc_id, i AS pos, array_to_string(list_slice(say, i + 1, i + {WIDTH}), ' ') AS w,
        list_transform(list_slice(raw, i + 1, i + {WIDTH}), lambda x: lower(x)) AS vals
-       FROM (SELECT *, unnest(range(0, greatest(len(tok) - {WIDTH}, 0) + 1)) AS i FROM d)),
+       FROM (SELECT *, unnest(range(0, greatest(len(tok) - {WIDTH}, 0) + 1)) AS i FROM
+             (SELECT *, tok AS say FROM d UNION ALL SELECT *, {_SPELLED} FROM d WHERE len(list_filter(tok, lambda t: contains(t, chr(1)))) > 0))),
 hits AS (SELECT DISTINCT doc_id, item_id, item_pos, pos, vals FROM dw JOIN iw USING (w) WHERE literals >= least({MIN_LITERALS}, n)),
 diag AS (SELECT doc_id, item_id, pos - item_pos AS g, count(*) AS n,
          row_number() OVER (PARTITION BY doc_id, item_id ORDER BY count(*) DESC, pos - item_pos) AS rn
