@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lintlake.plans.lineage import cut
@@ -16,36 +16,30 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     after every round; only a changed-edge count reaches the driver. Self loops give a node its own component,
     null ends are ignored, an empty edge list gives an empty result.
     """
-    e = (
+    e = cut(
         edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v"))
         .where("u is not null and v is not null")
+        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        .distinct()
     )
-    nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct()
-    nodes = cut(nodes)
-    pairs = cut(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    pairs, before = e.where("u <> v"), None
     for _ in range(max_rounds):
         # large star: every larger neighbour of u is linked to the least node around u
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: u and its smaller neighbours are linked to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = (
-            joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(least.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("x"))
+        seen = Observation()
+        pairs = cut(
+            small.select(F.col("x.a").alias("u"), F.col("x.b").alias("v")).where("u <> v").distinct()
+            .observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
         )
-        pairs = cut(small)
-        after = pairs.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")
-        ).first()
-        if after == before or after[0] == 0:
+        after = (seen.get["n"], seen.get["h"])
+        if after == before or not after[0]:
             break
         before = after
-    return nodes.join(
-        pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")), "node", "left"
-    ).select("node", F.coalesce("m", "node").alias("component"))
+    ends = e.select(F.explode(F.array("u", "v")).alias("node"), F.lit(None).cast("long").alias("v"))
+    # a node's row of the final star, or none if it is the centre
+    return ends.union(pairs.select("u", "v")).groupBy("node").agg(F.min(F.coalesce("v", "node")).alias("component"))
