@@ -29,9 +29,10 @@ COORDINATES = 64
 BRANCHES = 2.0
 DEPTH = 3
 BUCKET = 64
-#: Texts on a side of a verification tile; shingle columns multiplied at once.
-TILE = 512
-COLUMNS = 8192
+#: Texts and shingles on a side of a verification tile; shingle columns multiplied at once.
+TILE = 2048
+TILE_SHINGLES = 2_000_000
+COLUMNS = 2048
 
 
 def runs_needed(threshold: float, target: float, branches: float = BRANCHES, depth: int = DEPTH) -> int:
@@ -222,11 +223,14 @@ def shared_counts(h: np.ndarray, bounds: np.ndarray, rows: np.ndarray, cols: np.
 def verify(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Exact links within candidate components: ``rep, n, root`` per tile and text, ``n`` counting copies.
 
-    ``members(rep, component, weight)``. A component of more than TILE texts is dealt over chunks and compared
-    chunk by chunk, so no task holds more than two chunks whatever the component's size; pairs never leave a tile.
+    ``members(rep, component, weight, n)``. A component of more than TILE texts, or TILE_SHINGLES shingles, is
+    dealt over chunks and compared chunk by chunk, so no task holds more than two chunks whatever the component's
+    size; pairs never leave a tile.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
-    placed = members.join(sizes, "component").withColumn("chunks", F.ceil(F.col("size") / TILE).cast("int"))
+    sizes = members.groupBy("component").agg(
+        F.count("*").alias("size"), F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES).alias("fill")
+    ).where("size > 1")
+    placed = members.join(sizes, "component").withColumn("chunks", F.ceil("fill").cast("int"))
     placed = placed.withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(placed, "rep")
 
@@ -288,7 +292,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall
     reps = written(reps, "reps")
     sigs = reps.select("rep", "sig")
     groups = connected_components(candidate_edges(sigs, threshold, target_recall)).withColumnRenamed("node", "rep")
-    members = cut(groups.join(reps.select("rep", "weight"), "rep").select("rep", "component", "weight"))
+    members = cut(groups.join(reps.select("rep", "weight", "n"), "rep").select("rep", "component", "weight", "n"))
     found = cut(verify(members, known.dropDuplicates(["doc_id"]), threshold))
     links = found.groupBy("rep").agg(F.sum("n").alias("n_far"))
     classes = connected_components(found.where("rep <> root"), "rep", "root").withColumnRenamed("node", "rep")
