@@ -157,4 +157,4 @@ def distinct_files(keys: DataFrame, bits: int, label: str) -> HashFiles:
 
 def bits_for(df: DataFrame, per_partition: int = 4) -> int:
     """Shard bits so that shards number a few times the input's partitions, within bounds."""
-    return int(min(12, max(3, np.ceil(np.log2(max(1, df.rdd.getNumPartitions() * per_partition))))))
+    return int(min(16, max(3, np.ceil(np.log2(max(1, df.rdd.getNumPartitions() * per_partition))))))

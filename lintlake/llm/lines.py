@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.hashfiles import HashFiles, bits_for, build, distinct_files, pack, unpack
-from lintlake.llm.textnp import BATCH_BYTES, _INVERSE, label_pairs, mix, powers, text_batches
+from lintlake.llm.hashfiles import HashFiles, bits_for, distinct_files, pack, unpack
+from lintlake.llm.textnp import _INVERSE, label_pairs, mix, powers, text_batches
 from lintlake.plans.graph import connected_components
 from lintlake.plans.lineage import cut, remove, written
 
