@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from lintlake.operators import detect, flows
 from lintlake.operators.scan import register_detector, run_detectors, scan
-from lintlake.plans.adapters import files_table  # noqa: F401
 from lintlake.sources.files import config_kind, explode_lines, read_project_files, with_path_parts
 
 
