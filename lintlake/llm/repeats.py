@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.hashfiles import HashFiles, bits_for, build, distinct_files, pack, unpack
+from lintlake.llm.hashfiles import HashFiles, bits_for, build, pack, unpack
 from lintlake.llm.suffix import permuted_lcp, suffix_array
-from lintlake.llm.textnp import _INVERSE, mix, powers, utf8
-from lintlake.plans.lineage import remove, written
+from lintlake.llm.textnp import _INVERSE, mix, powers, utf8, window_hashes
+from lintlake.plans.lineage import bounded_batches, remove, written
 
 LENGTH = 100
 #: Bytes of the strings among which a window chooses.
@@ -70,8 +70,9 @@ def _segments(buf: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> t
     inverse = powers(n + 1, _INVERSE)
     h = total[seed:] - total[:-seed]
     h *= inverse[: len(h)]
-    h = mix(h)
-    least = (h & np.uint64(0xFFFFFFFFFFF00000)) | np.arange(len(h), dtype=np.uint64)
+    # the order of the polynomial's leading bits will do; only chosen strings are mixed
+    least = h & np.uint64(0xFFFFFFFFFFF00000)
+    least |= np.arange(len(h), dtype=np.uint64)
     width, have = length - seed + 1, 1
     while have < width:
         step = min(have, width - have)
@@ -96,7 +97,7 @@ def _segments(buf: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> t
     stop = high + length
     whole = (total[stop] - total[low]) * inverse[low]
     f = mix(whole + mix((stop - low).astype(np.uint64) * np.uint64(1 << 20) + (c - low).astype(np.uint64)))
-    return low, high, h[c], f
+    return low, high, mix(h[c]), f
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, tuple]]:
@@ -208,8 +209,29 @@ def _window_hashes(buf: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def shard_repeats(text: list[bytes], doc: np.ndarray, low: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, window start in it) of every window that also occurs at an earlier place in the shard."""
+    """(segment, window start in it) of every window that also occurs at an earlier place in the shard.
+
+    Segments none of whose windows has a hash that occurs twice in the shard can share nothing and are left out
+    of the suffix array, which decides about all others.
+    """
+    raw = np.frombuffer(b"".join(text), np.uint8)
     size = np.array([len(x) for x in text])
+    if len(raw) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.concatenate([[0], np.cumsum(size)])
+    h = window_hashes(raw, length)
+    owner = np.repeat(np.arange(len(text)), size)[: len(h)]
+    inside = np.arange(len(h)) + length <= edge[owner + 1]
+    h, owner = h[inside], owner[inside]
+    order = np.argsort(h)
+    twice = np.zeros(len(h), bool)
+    equal = h[order[1:]] == h[order[:-1]]
+    twice[order[1:][equal]] = True
+    twice[order[:-1][equal]] = True
+    kept = np.unique(owner[twice])
+    if not len(kept):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text, doc, low, size = [text[k] for k in kept], doc[kept], low[kept], size[kept]
     bounds = np.concatenate([[0], np.cumsum(size + 1)])
     letters = np.frombuffer(b"\0".join(text) + b"\0", np.uint8).astype(np.int64) + len(text) + 1
     letters[bounds[1:] - 1] = np.arange(1, len(text) + 1)  # every segment ends in a letter of its own
@@ -229,7 +251,7 @@ def shard_repeats(text: list[bytes], doc: np.ndarray, low: np.ndarray, length: i
     later[1:] = group[order][1:] == group[order][:-1]
     # one place can stand in two segments of different shards only, so places of a group differ
     found = order[later]
-    return which[found], (at - bounds[which])[found]
+    return kept[which[found]], (at - bounds[which])[found]
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -317,11 +339,33 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     inner = sorted_repeats(opened.where("kind = 0"))
     single = opened.where("kind = 1").select("h", "f", "doc_id", "low")
     heads = single.groupBy("h", "f").agg(F.min(F.struct("doc_id", "low")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    apart = (
-        single.join(heads, ["h", "f"]).where("doc_id <> first.doc_id or low <> first.low")
-        .select("doc_id", F.col("low").alias("start"), (F.col("low") + LENGTH).alias("stop"))
-    )
-    return later.unionByName(inner).unionByName(apart)
+    return later.unionByName(inner).unionByName(window_repeats(single, heads.select("h", "f", "first.*"), bits))
+
+
+def window_repeats(single: DataFrame, heads: DataFrame, bits: int) -> DataFrame:
+    """``doc_id, start, stop``: ranges of the windows (two hashes, place) that are not at the first place of their like."""
+    both = lambda h, f: mix(mix(h.view(np.uint64)) + f.view(np.uint64))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, f, doc, low = (batch.column(k).to_numpy() for k in range(4))
+            yield from pack(both(h, f), bits, _place(doc, low))
+
+    def make(table: pa.Table) -> tuple[np.ndarray, dict]:
+        keys, place = unpack(table, "<u8", "<u8")
+        found, at = np.unique(keys, return_index=True)
+        return found, {"place": place[at]}
+
+    first = build(heads.mapInArrow(packed, "p int, b0 binary, b1 binary"), bits, make, "heads", {"place": "<u8"})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, f, doc, low = (batch.column(k).to_numpy() for k in range(4))
+            there, place = first.find(both(h, f), "place")
+            again = there & (place != _place(doc, low))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _runs(doc[again], low[again], LENGTH)], ["doc_id", "start", "stop"])
+
+    return single.mapInArrow(run, "doc_id long, start long, stop long")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -331,6 +375,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     with a null id keeps its text and is no source of repeats.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    bounded_batches(docs.sparkSession)
     known = base.where("doc_id is not null")
     if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
         known = known.dropDuplicates(["doc_id"])

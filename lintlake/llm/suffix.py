@@ -24,9 +24,18 @@ def _types(t: np.ndarray) -> np.ndarray:
     return s
 
 
+def _stable_order(c: np.ndarray) -> np.ndarray:
+    """Stable argsort of small whole numbers, 16 bits at a time (a radix sort)."""
+    order = np.argsort((c & 0xFFFF).astype(np.uint16), kind="stable")
+    high = c >> 16
+    if len(c) and high.max():
+        order = order[np.argsort(high[order].astype(np.uint16), kind="stable")]
+    return order
+
+
 def _grouped_ranks(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stable rank of each item among equal values; the distinct values and their counts."""
-    order = np.argsort(c, kind="stable")
+    order = _stable_order(c)
     sorted_c = c[order]
     first = np.flatnonzero(np.append(True, sorted_c[1:] != sorted_c[:-1]))
     counts = np.diff(np.append(first, len(c)))
