@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -42,3 +43,19 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder of ours."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Rows and bytes of an Arrow batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold few rows and bytes, so that long texts do not fill a worker; a smaller setting stays."""
+    for key, most in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
+    ):
+        named = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(key).lower())
+        now = int(named[1]) << 10 * " kmgt".index(named[2] or " ") if named else 0
+        if not 0 < now <= most:
+            spark.conf.set(key, most)
