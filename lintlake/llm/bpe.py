@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.plans.lineage import bounded_batches
+
 #: Characters of a piece; longer texts are encoded in pieces. Characters added to a window's side at a time.
 PIECE_CHARS = 32_768
 WINDOW_CHARS = 64
@@ -164,6 +166,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, piece_chars: int = PIECE_CH
     dealt out as rows of their own, then brought together by text, whose size bounds what one group holds.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    bounded_batches(docs.sparkSession)
     short = base.where(F.length("text") <= piece_chars)
     long = base.where(F.length("text") > piece_chars)
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.hashfiles import HashFiles, bits_for, build, pack, read_array, unpack, write_array
 from lintlake.llm.textnp import mix, span_hashes, text_batches, token_spans
-from lintlake.plans.lineage import scratch_path, written
+from lintlake.plans.lineage import bounded_batches, scratch_path, written
 
 #: Of crc32(doc_id as text) modulo FOLDS, the remainder that is held out.
 FOLDS, HELD_OUT = 7, 2
@@ -194,6 +194,7 @@ def count_words(docs: DataFrame, bits: int) -> HashFiles:
 def train(docs: DataFrame) -> Model:
     """Learn from the rows of ``docs(doc_id, text)`` that are not held out."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     bits = bits_for(docs)
     half = max(1, bits // 2)
     words = count_words(docs, bits)

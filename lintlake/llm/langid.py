@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm.textnp import LOWER, text_batches
-from lintlake.plans.lineage import written
+from lintlake.plans.lineage import bounded_batches, written
 
 BUCKET_BITS = 14
 #: A text counts as so many independent trigrams at most.
@@ -58,6 +58,7 @@ def _trigrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def train(docs: DataFrame) -> TextModel:
     """Count trigrams of all rows of ``docs(doc_id, text, lang)`` that have a language and are not held out."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT, F.lit(True)))
     size = 1 << BUCKET_BITS

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lintlake.llm.hashfiles import HashFiles, bits_for, distinct_files, pack, unpack
 from lintlake.llm.textnp import _INVERSE, label_pairs, mix, powers, text_batches
 from lintlake.plans.graph import connected_components
-from lintlake.plans.lineage import cut, remove, written
+from lintlake.plans.lineage import bounded_batches, cut, remove, written
 
 TAU = 2
 #: Shorter lines are duplicates only of equal lines; the shortest are none at all.
@@ -323,6 +323,7 @@ def line_classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
     MIN_EDIT_CHARS only equal ones.
     """
     bits = bits_for(docs)
+    bounded_batches(docs.sparkSession)
     table = written(line_table(docs), "lines").where(F.col("chars") >= MIN_CHARS)
     met = written(meeting_lines(docs, tau, bits), "met")
     wanted = distinct_files(met.select("h"), min(bits, 6), "wanted")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.textnp import label_pairs, mix, sequence_hashes, span_hashes, text_batches, token_spans
 from lintlake.plans.graph import connected_components
-from lintlake.plans.lineage import cut, written
+from lintlake.plans.lineage import bounded_batches, cut, written
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -283,6 +283,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall
     one is used; a row with a null id stays, links with nothing and is kept.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bounded_batches(docs.sparkSession)
     known = base.where("doc_id is not null")
     drawn = written(sketch(known), "sketch")
     # one text for each set; the least id stands for its copies

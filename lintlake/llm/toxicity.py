@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm.textnp import mix, part_hashes, text_batches, token_spans, utf8
+from lintlake.plans.lineage import bounded_batches
 
 #: Training rows taken of each label, by hash of doc_id, and the longest text used in training.
 TRAIN_DOCS = 2000
@@ -316,6 +317,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Whole texts are scored, a null or empty one too; repeated ids are scored row by row.
     """
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,6 +346,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose text is not predicted toxic, all columns as they are, without a shuffle."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
