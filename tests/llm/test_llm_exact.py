@@ -180,18 +180,19 @@ def test_hosts(spark):
 # -- 5 -----------------------------------------------------------------------------------------------------------
 
 ITEMS = "item_id long, text string"
+PLAIN = "The slow red boat went over the wide river while two old men sang on the far bank all night."
 
 
 def test_decontamination(spark, monkeypatch):
     question = "A farmer named Johnson sells 12 apples for 5 dollars and then Johnson buys 12 pears at the market near town."
-    items = spark.createDataFrame([(1, question), (2, "one two three"), (3, None), (4, "7 8 9"), (None, question), (1, question)], ITEMS)
+    items = spark.createDataFrame([(1, question), (2, "one two three"), (3, None), (4, "7 8 9"), (None, question), (1, question), (5, PLAIN)], ITEMS)
     other = question.replace("12", "40").replace("Johnson", "Miller")
     clash = question.replace("12", "40", 1)
-    rows = [(1, "Before. " + question + " After."), (2, other), (3, clash), (4, None), (5, ""), (6, "nothing of the kind " * 50), (7, "so one two three end"), (8, "1 2 3 4 5 6 7 8 9"), (1, "again " + question), (10, question.lower().upper())]
+    rows = [(1, "Before. " + question + " After."), (2, other), (3, clash), (4, None), (5, ""), (6, "nothing of the kind " * 50), (7, "so one two three end"), (8, "1 2 3 4 5 6 7 8 9"), (1, "again " + question), (10, "AND SO. " + PLAIN.upper())]
     for limit in (200_000, 0):
         monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", limit)
         got = {(r.doc_id, r.item_id): r.reparameterised for r in decontam.contaminated(docs(spark, rows, extra=True), items).collect()}
-        assert got == {(1, 1): False, (2, 1): True, (10, 1): False}
+        assert got == {(1, 1): False, (2, 1): True, (10, 5): False}
     assert decontam.contaminated(docs(spark, []), items).count() == 0
     assert decontam.contaminated(docs(spark, rows), items.limit(0)).count() == 0
 
