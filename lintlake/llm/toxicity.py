@@ -25,7 +25,7 @@ TRAIN_DOCS = 2000
 TRAIN_CHARS = 20_000
 #: Features kept, least number of neighbourhoods and share of toxic ones that make a feature typical.
 MAX_FEATURES = 20_000
-MIN_CONTEXTS = 5
+MIN_CONTEXTS = 10
 MIN_SHARE = 0.9
 #: Tokens on each side of a training window, windows, rounds of training, shrinkage.
 SIDE = 6
@@ -309,7 +309,11 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS) -> Mo
         .select("text", "toxic")
         .toPandas()
     )
-    return fit(list(rows["text"]), rows["toxic"].to_numpy(), share or 0.0)
+    texts, toxic = list(rows["text"]), rows["toxic"].to_numpy()
+    del rows
+    model = fit(texts, toxic, share or 0.0)
+    pa.default_memory_pool().release_unused()  # the driver goes on with other work
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
