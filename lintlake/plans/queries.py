@@ -194,7 +194,7 @@ def d2b(spark, sf_dir):
     ("compose-docker-socket", "contains(lower(text), 'docker.sock')"),
 ]))
 def d3(spark, sf_dir):
-    return detect.scan_compose(A.sql(spark, sf_dir, A.CODE_LINES)).where("rule_id <> 'compose-plaintext-secret'").select(*_OUT)
+    return detect.scan_compose(A.sql(spark, sf_dir, A.CODE_LINES)).select(*_OUT)
 
 
 _V1 = f"""
@@ -445,9 +445,13 @@ def v5(spark, sf_dir):
     return G.replay_lifecycle(A.sql(spark, sf_dir, A.SCANS))
 
 
-def _lifecycle(spark, sf_dir):
-    """History after two scans: findings before 1995-06 and those after."""
-    f = findings(spark, sf_dir).where("file like '%0.py'")
+#: The part of the findings that the SQL form of the lifecycle has.
+_J2_PART = "file like '%0.py'"
+
+
+def _lifecycle(spark, sf_dir, part="true"):
+    """History after two scans: findings before 1995-06 and those after, of all findings or a part."""
+    f = findings(spark, sf_dir).where(part)
     old = f.where("seen_at < timestamp '1995-06-01 00:00:00'")
     new = f.where("seen_at >= timestamp '1995-06-01 00:00:00'")
     empty = spark.createDataFrame([], "project_id string, fingerprint string, rule_id string, file string, line int, title string, severity string, first_seen timestamp, last_seen timestamp, times_seen int, status string")
@@ -470,11 +474,21 @@ r AS (SELECT project_id, fingerprint, CASE WHEN NOT found THEN 'fixed' WHEN old
 
 @query("j2_update_lifecycle", _J2 + "SELECT * FROM r")
 def j2(spark, sf_dir):
+    return _lifecycle(spark, sf_dir, _J2_PART)[2].select("project_id", "fingerprint", "status", "times_seen", "first_seen", "last_seen")
+
+
+@query("j2_update_lifecycle_all")
+def j2_all(spark, sf_dir):
     return _lifecycle(spark, sf_dir)[2].select("project_id", "fingerprint", "status", "times_seen", "first_seen", "last_seen")
 
 
 @query("a7_lifecycle_counts", _J2 + "SELECT project_id, status, count(*) AS n FROM r GROUP BY 1, 2")
 def a7(spark, sf_dir):
+    return G.lifecycle_counts(_lifecycle(spark, sf_dir, _J2_PART)[2])
+
+
+@query("a7_lifecycle_counts_all")
+def a7_all(spark, sf_dir):
     return G.lifecycle_counts(_lifecycle(spark, sf_dir)[2])
 
 
@@ -588,9 +602,9 @@ def f12(spark, sf_dir):
     return G.remediation_records(findings(spark, sf_dir), _now()).select("project_id", "fingerprint", "recommendation", "patch_preview", "status").distinct()
 
 
-def _plan(spark, sf_dir):
+def _plan(spark, sf_dir, known="line <= 4"):
     f = findings(spark, sf_dir)
-    old, new = f.where("line <= 4"), f.where("line >= 3")
+    old, new = f.where(known), f.where("line >= 3")
     t0 = F.lit("2023-01-01 00:00:00").cast("timestamp")
     first = G.remediation_records(old, t0).dropDuplicates(["project_id", "fingerprint"])
     chosen = first.where(F.substring("fingerprint", 1, 1) == "c").select("project_id", "fingerprint")
@@ -618,11 +632,21 @@ def j10(spark, sf_dir):
     return _plan(spark, sf_dir)[0].select("project_id", "fingerprint", "status")
 
 
+@query("j10_approve_remediation_all")
+def j10_all(spark, sf_dir):
+    return _plan(spark, sf_dir, "true")[0].select("project_id", "fingerprint", "status")
+
+
 @query("a6_remediation_summary", f"SELECT project_id, CASE WHEN substr(fp, 1, 1) = 'c' THEN 'approved' ELSE 'proposed' END AS status, count(*) AS n FROM ({_AFP}) WHERE line <= 4 GROUP BY 1, 2")
 def a6(spark, sf_dir):
     return G.remediation_summary(_plan(spark, sf_dir)[0])
 
 
+@query("a6_remediation_summary_all")
+def a6_all(spark, sf_dir):
+    return G.remediation_summary(_plan(spark, sf_dir, "true")[0])
+
+
 # -- roll-ups ----------------------------------------------------------------------------------------------------
 
 _CLASSED = f"""SELECT *, CASE WHEN len(list_filter(parts, lambda x: x IN {_IGNORED})) > 0 THEN 'ignored' WHEN size IS NULL OR size > {K.MAX_BYTES} THEN 'skipped'
