@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 WIDTH = 5
 COVERAGE = 0.8
-#: Literal tokens that a window must have to be looked up; placeholders alone say nothing.
+#: Literal tokens that a window must have to be looked up by its template; others are looked up by their words.
 MIN_LITERALS = 3
 #: Benchmark windows up to which they are broadcast (about 20 bytes each).
 BROADCAST_WINDOWS = 200_000
@@ -42,6 +42,7 @@ LATE_STEPS = [
     (rf"(^|{_SPACE})[\p{{P}}\p{{S}}]+([\p{{L}}\p{{N}}\x01\x02\x03])", "$1$2"),
     (rf"([\p{{L}}\p{{N}}\x01\x02\x03])[\p{{P}}\p{{S}}]+({_SPACE}|$)", "$1$2"),
 ]
+BARE_STEPS = LATE_STEPS[1:]
 
 
 def words(text: Column) -> Column:
@@ -59,32 +60,46 @@ def template(text: Column) -> Column:
     return words(out)
 
 
-def _windows(tokens: Column) -> Column:
-    """(position from 0, hash) of the windows; a shorter list of tokens has one, of all of them."""
-    n = F.size(tokens)
-    last = F.greatest(n - WIDTH, F.lit(0))
-    return F.transform(
+def plain(text: Column) -> Column:
+    """Lower-case tokens without outer punctuation, as many as the text has words; a template's literals are the same."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for pattern, by in BARE_STEPS:
+        out = F.regexp_replace(out, pattern, by)
+    return words(out)
+
+
+def _windows(*tokens: Column) -> Column:
+    """(position from 0, hash) of the windows of each list of tokens, equal ones once.
+
+    The lists are equally long; one shorter than a window has one, of all its tokens.
+    """
+    last = F.greatest(F.size(tokens[0]) - WIDTH, F.lit(0))
+    each = F.transform(
         F.sequence(F.lit(0), last),
-        lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(tokens, i + 1, WIDTH)).alias("hash")),
+        lambda i: F.transform(
+            F.array_distinct(F.array(*[F.xxhash64(F.slice(t, i + 1, WIDTH)) for t in tokens])),
+            lambda h: F.struct(i.alias("pos"), h.alias("hash")),
+        ),
     )
+    return F.flatten(each)
 
 
 def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items with their tokens, and their windows with enough literals (or all, if an item has few literals)."""
+    """Items with their tokens, and their windows: by template those with enough literals, by plain tokens the rest."""
     base = (
         items.where("item_id is not null")
         .select(F.col("item_id").cast("long").alias("item_id"), "text")
         .dropDuplicates(["item_id"])
-        .select("item_id", F.transform(words(F.col("text")), F.lower).alias("item_raw"), template(F.col("text")).alias("item_tokens"))
+        .select("item_id", F.transform(words(F.col("text")), F.lower).alias("item_raw"), template(F.col("text")).alias("item_tokens"), plain(F.col("text")).alias("item_plain"))
         .where("size(item_tokens) > 0")
     )
     literal = lambda t: ~t.isin(NAME, NUMBER, UNIT)
-    each = base.select("item_id", "item_tokens", F.explode(_windows(F.col("item_tokens"))).alias("w")).select(
-        "item_id", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"),
-        F.size(F.filter(F.slice("item_tokens", F.col("w.pos") + 1, WIDTH), literal)).alias("literals"),
-        F.size("item_tokens").alias("item_len"),
-    ).where(F.col("literals") >= F.least(F.lit(MIN_LITERALS), F.col("item_len")))
-    return base, each.select("item_id", "item_pos", "hash")
+    part = lambda c: F.slice(c, F.col("item_pos") + 1, WIDTH)
+    last = F.greatest(F.size("item_tokens") - WIDTH, F.lit(0))
+    each = base.select("item_id", "item_tokens", "item_plain", F.explode(F.sequence(F.lit(0), last)).alias("item_pos"))
+    enough = F.size(F.filter(part("item_tokens"), literal)) >= F.least(F.lit(MIN_LITERALS), F.size("item_tokens"))
+    hashes = F.array(F.when(enough, F.xxhash64(part("item_tokens"))).otherwise(F.xxhash64(part("item_plain"))))
+    return base.drop("item_plain"), each.select("item_id", "item_pos", F.explode(hashes).alias("hash"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -98,8 +113,8 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
     small = wanted.count() <= BROADCAST_WINDOWS
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(
         "text <> ''"
-    ).select("doc_id", words(F.col("text")).alias("raw"), template(F.col("text")).alias("tokens"))
-    each = tokens.select("doc_id", "raw", F.explode(_windows(F.col("tokens"))).alias("w"))
+    ).select("doc_id", words(F.col("text")).alias("raw"), template(F.col("text")).alias("tokens"), plain(F.col("text")).alias("plain"))
+    each = tokens.select("doc_id", "raw", F.explode(_windows(F.col("tokens"), F.col("plain"))).alias("w"))
     if small:
         hits = each.join(F.broadcast(wanted), F.col("w.hash") == F.col("hash"))
         hits = hits.select("doc_id", "item_id", "item_pos", F.col("w.pos").alias("pos"), F.slice("raw", F.col("w.pos") + 1, WIDTH).alias("vals"))
