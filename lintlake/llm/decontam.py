@@ -3,19 +3,21 @@
 Everything is DataFrame functions. A text's template has the same number of tokens as the text: names
 (capitalised words inside a sentence), numbers and units after numbers become placeholders, the rest is
 lower-cased and stripped of outer punctuation. A document is contaminated by an item when windows of five
-template tokens, on one alignment, cover at least 80 % of the item's tokens and every value of the item's
-slots stands for one value in the document.
+template tokens, on any alignment or on neighbouring ones together, cover at least 80 % of the item's tokens
+and every value of the item's slots stands for one value in the document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WIDTH = 5
 COVERAGE = 0.8
 #: Literal tokens that a window must have to be looked up by its template; others are looked up by their words.
 MIN_LITERALS = 3
+#: Words by which alignments may differ and still be added up (insertions less deletions inside a passage).
+SHIFT = 8
 #: Benchmark windows up to which they are broadcast (about 20 bytes each).
 BROADCAST_WINDOWS = 200_000
 
@@ -105,45 +107,66 @@ def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``doc_id, item_id, n_windows, covered, n_slots, reparameterised`` per document and item found in it.
 
-    covered is the share of the item's tokens under matching windows of the best alignment (most windows, then
-    the earliest); reparameterised: some slot has another value than in the item. Null or empty texts match
-    nothing; an item shorter than a window is one window; rows that repeat an id count as one document.
+    Every alignment that has windows is judged, alone and together with those up to SHIFT words away; an item's
+    token takes its value from the nearest. The figures are of the accepted judgement with the least shift, then
+    the most windows, then the earliest alignment: covered is the share of the item's tokens under its windows;
+    reparameterised: some slot has another value than in the item. Null or empty texts match nothing; an item
+    shorter than a window is one window; rows that repeat an id count as one document, found if one of them is.
     """
     base, wanted = item_windows(items)
     small = wanted.count() <= BROADCAST_WINDOWS
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(
         "text <> ''"
-    ).select("doc_id", words(F.col("text")).alias("raw"), template(F.col("text")).alias("tokens"), plain(F.col("text")).alias("plain"))
-    each = tokens.select("doc_id", "raw", F.explode(_windows(F.col("tokens"), F.col("plain"))).alias("w"))
+    ).select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("raw"), template(F.col("text")).alias("tokens"), plain(F.col("text")).alias("plain"))
+    each = tokens.select("doc_id", "row", "raw", F.explode(_windows(F.col("tokens"), F.col("plain"))).alias("w"))
     if small:
         hits = each.join(F.broadcast(wanted), F.col("w.hash") == F.col("hash"))
-        hits = hits.select("doc_id", "item_id", "item_pos", F.col("w.pos").alias("pos"), F.slice("raw", F.col("w.pos") + 1, WIDTH).alias("vals"))
+        hits = hits.select("doc_id", "row", "item_id", "item_pos", F.col("w.pos").alias("pos"), F.slice("raw", F.col("w.pos") + 1, WIDTH).alias("vals"))
     else:
-        found = each.select("doc_id", F.col("w.pos").alias("pos"), F.col("w.hash").alias("at")).join(
+        found = each.select("doc_id", "row", F.col("w.pos").alias("pos"), F.col("w.hash").alias("at")).join(
             wanted, F.col("at") == F.col("hash")
-        ).select("doc_id", "item_id", "item_pos", "pos")
-        hits = found.join(tokens.select("doc_id", "raw"), "doc_id").select(
-            "doc_id", "item_id", "item_pos", "pos", F.slice("raw", F.col("pos") + 1, WIDTH).alias("vals")
+        ).select("doc_id", "row", "item_id", "item_pos", "pos")
+        hits = found.join(tokens.select("doc_id", "row", "raw").dropDuplicates(["doc_id", "row"]), ["doc_id", "row"]).select(
+            "doc_id", "row", "item_id", "item_pos", "pos", F.slice("raw", F.col("pos") + 1, WIDTH).alias("vals")
         )
     hits = hits.withColumn("vals", F.transform("vals", F.lower))
     # windows of one alignment: no more than the item has
-    aligned = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
+    pair = ["doc_id", "row", "item_id"]
+    aligned = hits.groupBy(*pair, (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
         F.collect_set(F.struct("item_pos", "vals")).alias("found")
     )
-    best = aligned.groupBy("doc_id", "item_id").agg(
-        F.max_by("found", F.struct(F.size("found"), -F.col("diagonal"))).alias("found")
+    # windows of all alignments must be able to cover enough
+    enough = F.sum(F.size("found")).over(Window.partitionBy(*pair)) * WIDTH >= F.lit(coverage) * F.col("item_len")
+    lengths = base.select("item_id", F.size("item_tokens").alias("item_len"))
+    aligned = aligned.join(lengths, "item_id").where("item_len > 0").withColumn("enough", enough).where("enough")
+    near = aligned.select(
+        *pair, "found", "diagonal", F.explode(F.sequence(F.col("diagonal") - SHIFT, F.col("diagonal") + SHIFT)).alias("centre")
     )
-    joined = best.join(base, "item_id")
-    spots = F.array_distinct(
-        F.flatten(
-            F.transform(
-                "found",
-                lambda f: F.transform(
-                    f["vals"], lambda v, i: F.struct((f["item_pos"] + i).alias("at"), v.alias("val"))
-                ),
-            )
+    around = near.groupBy(*pair, "centre").agg(
+        F.collect_list(F.struct(F.abs(F.col("diagonal") - F.col("centre")).alias("off"), "diagonal", "found")).alias("around")
+    ).where(F.exists("around", lambda a: a["off"] == 0))
+    joined = around.withColumn("shift", F.explode(F.array_distinct(F.transform("around", lambda a: a["off"])))).withColumn(
+        "around", F.filter("around", lambda a: a["off"] <= F.col("shift"))
+    ).join(base, "item_id")
+    every = F.flatten(
+        F.transform(
+            "around",
+            lambda a: F.flatten(
+                F.transform(
+                    a["found"],
+                    lambda f: F.transform(
+                        f["vals"],
+                        lambda v, i: F.struct(
+                            (f["item_pos"] + i).alias("at"), a["off"].alias("off"), a["diagonal"].alias("diagonal"), v.alias("val")
+                        ),
+                    ),
+                )
+            ),
         )
     )
+    # the nearest value of each of the item's tokens
+    spots = F.filter("every", lambda s, i: (i == 0) | (F.get("every", i - 1)["at"] != s["at"]))
+    windows = F.array_distinct(F.flatten(F.transform("around", lambda a: F.transform(a["found"], lambda f: f["item_pos"]))))
     bare = lambda v: F.regexp_replace(v, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")
     slots = F.array_distinct(
         F.transform(
@@ -155,20 +178,25 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
             ),
         )
     )
-    return (
-        joined.withColumn("spots", spots)
+    judged = (
+        joined.withColumn("every", F.array_sort(F.array_distinct(every)))
+        .withColumn("spots", spots)
         .withColumn("slots", slots)
         .select(
-            "doc_id", "item_id",
-            F.size("found").cast("long").alias("n_windows"),
-            (F.size(F.array_distinct(F.transform("spots", lambda s: s["at"]))) / F.size("item_tokens")).alias("covered"),
+            "doc_id", "item_id", "shift", "centre",
+            F.size(windows).cast("long").alias("n_windows"),
+            (F.size("spots") / F.size("item_tokens")).alias("covered"),
             F.size("slots").cast("long").alias("n_slots"),
             F.exists("slots", lambda s: s["was"] != s["now"]).alias("reparameterised"),
             (F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["was"])))) == F.size("slots")).alias("consistent"),
         )
         .where((F.col("covered") >= coverage) & F.col("consistent"))
-        .drop("consistent")
     )
+    figures = ["n_windows", "covered", "n_slots", "reparameterised"]
+    best = judged.groupBy("doc_id", "item_id").agg(
+        F.max_by(F.struct(*figures), F.struct(-F.col("shift"), "n_windows", -F.col("centre"), "covered")).alias("best")
+    )
+    return best.select("doc_id", "item_id", *[f"best.{c}" for c in figures])
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

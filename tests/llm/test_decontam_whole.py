@@ -13,3 +13,18 @@ def test_copy_of_an_item_of_names_and_numbers(spark):
     item = "The list: Paris 12 Rome 15 Berlin 9 Madrid 31 Vienna 40 Prague 8 Warsaw 77 Lisbon 6"
     other = item.replace("Rome", "Oslo").replace("31", "32").replace("Prague", "Sofia").replace("Vienna", "Dublin")
     assert found(spark, ["So then. " + item + " and more words", other], item) == {0}
+
+
+def test_consistent_copy_after_an_inconsistent_one(spark):
+    item = "A farmer named Johnson sells 12 apples for 5 dollars and then Johnson buys 12 pears at the market near town."
+    clash = item.replace("12", "40", 1)
+    assert found(spark, [clash + " Well. " + item, clash + " Well. " + clash, clash], item) == {0}
+
+
+def test_words_inserted_or_left_out_inside(spark):
+    item = "the slow red boat went over the wide river while two old men sang loudly on the far bank all night until morning"
+    w = item.split()
+    more = " ".join([*w[:11], "very", "quietly", *w[11:]])
+    less = " ".join([*w[:11], *w[12:]])
+    far = " ".join([*w[:11], *["word"] * 30, *w[11:]])
+    assert found(spark, ["so " + more + " end", less, far, " ".join(w[:11])], item) == {0, 1}
