@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 WIDTH = 5
 COVERAGE = 0.8
-#: Literal tokens that a window must have to be looked up by its template; others are looked up by their words.
+#: Literal tokens that a window must have to be looked up by its template; all are looked up by their words.
 MIN_LITERALS = 3
 #: Words by which alignments may differ and still be added up (insertions less deletions inside a passage).
 SHIFT = 8
@@ -87,7 +87,7 @@ def _windows(*tokens: Column) -> Column:
 
 
 def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items with their tokens, and their windows: by template those with enough literals, by plain tokens the rest."""
+    """Items with their tokens, and their windows: all by plain tokens, those with enough literals by template too."""
     base = (
         items.where("item_id is not null")
         .select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -100,7 +100,8 @@ def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = F.greatest(F.size("item_tokens") - WIDTH, F.lit(0))
     each = base.select("item_id", "item_tokens", "item_plain", F.explode(F.sequence(F.lit(0), last)).alias("item_pos"))
     enough = F.size(F.filter(part("item_tokens"), literal)) >= F.least(F.lit(MIN_LITERALS), F.size("item_tokens"))
-    hashes = F.array(F.when(enough, F.xxhash64(part("item_tokens"))).otherwise(F.xxhash64(part("item_plain"))))
+    by_words, by_template = F.xxhash64(part("item_plain")), F.xxhash64(part("item_tokens"))
+    hashes = F.array_distinct(F.when(enough, F.array(by_words, by_template)).otherwise(F.array(by_words)))
     return base.drop("item_plain"), each.select("item_id", "item_pos", F.explode(hashes).alias("hash"))
 
 

@@ -28,3 +28,8 @@ def test_words_inserted_or_left_out_inside(spark):
     less = " ".join([*w[:11], *w[12:]])
     far = " ".join([*w[:11], *["word"] * 30, *w[11:]])
     assert found(spark, ["so " + more + " end", less, far, " ".join(w[:11])], item) == {0, 1}
+
+
+def test_names_in_a_text_of_one_case(spark):
+    item = "Yesterday Anna Schmidt met Peter Weber in Hamburg and Maria Fischer drove Paul Wagner from Bremen to Kiel by car"
+    assert found(spark, ["SO. " + item.upper(), "so " + item.lower() + " end", item.title(), "so " + " ".join(item.split()[:9])], item) == {0, 1, 2}
