@@ -21,9 +21,9 @@ from lintlake.plans.graph import connected_components
 from lintlake.plans.lineage import bounded_batches, cut, remove, written
 
 TAU = 2
-#: Shorter lines are duplicates only of equal lines; the shortest are none at all.
+#: Shorter lines are duplicates only of equal lines; empty ones are none at all.
 MIN_EDIT_CHARS = 24
-MIN_CHARS = 4
+MIN_CHARS = 1
 #: Lines compared at once in a segment's bucket; larger buckets are dealt out in chunks.
 BUCKET = 512
 #: lid = doc_id * LINE_SPAN + line number.
@@ -319,7 +319,7 @@ def line_classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """``lid, class_lid, chars`` of every line of ``docs(doc_id, text)`` that has a class.
 
     class_lid is the first line (by doc_id, then line number) of those that are equal or linked, directly or in
-    turn, by an edit distance of at most ``tau``. Lines shorter than MIN_CHARS have no class, those shorter than
+    turn, by an edit distance of at most ``tau``. Empty lines have no class, those shorter than
     MIN_EDIT_CHARS only equal ones.
     """
     bits = bits_for(docs)
