@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Each round is two aggregations with map-side combine and two equi joins, so a hub node is pre-aggregated
     and its join side can be split by adaptive execution. The lineage is cut in the shared checkpoint folder
     after every round; only a changed-edge count reaches the driver. Self loops give a node its own component,
-    null ends are ignored, an empty edge list gives an empty result.
+    null ends are ignored, an empty edge list gives an empty result. The rounds grow with the logarithm of the longest
+    path; should ``max_rounds`` not do, that is an error and never a partial answer.
     """
     e = cut(
         edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v"))
@@ -40,6 +41,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if after == before or not after[0]:
             break
         before = after
+    else:
+        raise RuntimeError(f"components not found in {max_rounds} rounds")
     ends = e.select(F.explode(F.array("u", "v")).alias("node"), F.lit(None).cast("long").alias("v"))
     # a node's row of the final star, or none if it is the centre
     return ends.union(pairs.select("u", "v")).groupBy("node").agg(F.min(F.coalesce("v", "node")).alias("component"))

@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a folder of our own only where none is set, as in tests."""
+    """The checkpoint folder of the session; a folder of our own only where none is set on a single machine, as in tests.
+
+    On a cluster a folder of one machine would lose what other machines write, so there the setting must be given.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all of {master} shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lintlake-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
