@@ -31,14 +31,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    gone = decontam.contaminated(docs.select("doc_id", "text"), items).select("doc_id").distinct()
+    gone = decontam.contaminated(docs.select("doc_id", "text"), items, short_items=True).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
-    path = bpe.default_tokenizer()
-    return bpe.digests(bpe.bpe_encode(docs.select("doc_id", "text"), path), path)
+    return bpe.round_trip(docs.select("doc_id", "text"), bpe.default_tokenizer())
 
 
 STAGES = [
