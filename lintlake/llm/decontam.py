@@ -9,9 +9,13 @@ and every value of the item's slots stands for one value in the document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lintlake.plans.lineage import written
+
 WIDTH = 5
 COVERAGE = 0.8
 #: Literal tokens that a window must have to be looked up by its template; all are looked up by their words.
@@ -20,6 +24,8 @@ MIN_LITERALS = 3
 SHIFT = 8
 #: Benchmark windows up to which they are broadcast (about 20 bytes each).
 BROADCAST_WINDOWS = 200_000
+#: Bytes of the table that tells which windows are worth a look, at most.
+SLOTS = 1 << 20
 
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 _SPACE = r"[\t\n\x0B\f\r ]"
@@ -44,15 +50,59 @@ LATE_STEPS = [
     (rf"(^|{_SPACE})[\p{{P}}\p{{S}}]+([\p{{L}}\p{{N}}\x01\x02\x03])", "$1$2"),
     (rf"([\p{{L}}\p{{N}}\x01\x02\x03])[\p{{P}}\p{{S}}]+({_SPACE}|$)", "$1$2"),
 ]
-BARE_STEPS = LATE_STEPS[1:]
+
+
+_LETTER = r"[\p{L}\p{N}\x01\x02\x03]"
+_OUTER = rf"^[\p{{P}}\p{{S}}]+(?={_LETTER})|(?<={_LETTER})[\p{{P}}\p{{S}}]+$"
+_SENTENCE_END = r"[.!?:;][\"')\]]*$"
+_NAME = r"^\p{Lu}\p{Ll}[\p{L}\p{M}'’-]*"
+_OWN_UNIT = rf"{NUMBER}(?:{'|'.join(UNITS)})([^\p{{L}}\p{{N}}]|$)"
+_UNIT = rf"^(?:{'|'.join(UNITS)})([^\p{{L}}\p{{N}}]|$)"
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), rf"{_SPACE}+"), lambda w: w != "")
 
 
+def _bare(token: Column) -> Column:
+    """A token without outer punctuation; one of punctuation alone stays."""
+    return F.regexp_replace(token, _OUTER, "")
+
+
+def _typed(df: DataFrame, form: Callable[[Column], Column], text: str = "text") -> DataFrame:
+    """Add ``words``, ``plain`` (``form`` of the lower-cased words without outer punctuation) and ``tokens`` (``form``
+    of the template), all three as long as the text has words.
+
+    A word of small letters alone is its own plain token, and its own template token unless it is a unit after a
+    number, so only other words are looked at closely.
+    """
+    # a text's first word begins a sentence, unless space comes before it (its first character is a space)
+    first = ~F.ascii(F.substring(F.col(text), 1, 1)).isin(9, 10, 11, 12, 13, 32)
+    out = df.withColumn("words", words(F.col(text)))
+    out = out.withColumn("__small", F.transform("words", lambda w: w.rlike(r"^\p{Ll}+$")))
+    small = lambda i: F.get("__small", i)
+    # an array that a lambda names only once would be worked out anew for every element; zip_with takes it as an argument
+    out = out.withColumn("plain", F.zip_with("words", "__small", lambda w, plain: form(F.when(plain, w).otherwise(_bare(F.lower(w))))))
+
+    def close(w: Column, i: Column) -> Column:
+        begins = F.when(i == 0, first).otherwise(F.get("words", i - 1).rlike(_SENTENCE_END))
+        named = F.when(begins, w).otherwise(F.regexp_replace(w, _NAME, NAME))
+        return F.regexp_replace(F.lower(F.regexp_replace(named, STEPS[2][0], NUMBER)), _OWN_UNIT, f"{NUMBER}{UNIT}$1")
+
+    def token(w: Column, i: Column) -> Column:
+        after_number = (i > 0) & ~small(i - 1) & F.get("words", i - 1).rlike(r"\p{Nd}$")
+        return (
+            F.when(after_number & F.lower(w).rlike(_UNIT), form(_bare(F.regexp_replace(F.lower(w), _UNIT, f"{UNIT}$1"))))
+            .when(small(i), F.get("plain", i))
+            .when(w.rlike(r"[\p{Lu}\p{Nd}]"), form(_bare(close(w, i))))
+            .otherwise(F.get("plain", i))
+        )
+
+    return out.withColumn("tokens", F.transform("words", token)).drop("__small")
+
+
 def template(text: Column) -> Column:
-    """Template tokens of a text, as many as it has words."""
+    """Template tokens of a text, as many as it has words: the rule as steps over the whole text."""
     out = F.coalesce(text, F.lit(""))
     for pattern, by in STEPS:
         out = F.regexp_replace(out, pattern, by)
@@ -62,75 +112,88 @@ def template(text: Column) -> Column:
     return words(out)
 
 
-def plain(text: Column) -> Column:
-    """Lower-case tokens without outer punctuation, as many as the text has words; a template's literals are the same."""
-    out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, by in BARE_STEPS:
-        out = F.regexp_replace(out, pattern, by)
-    return words(out)
+def _window_hash(hashes: str, i: Column, width: int) -> Column:
+    return F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])
 
 
-def _windows(*tokens: Column) -> Column:
-    """(position from 0, hash) of the windows of each list of tokens, equal ones once.
+def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items with their tokens, and their windows: all by plain tokens, those with enough literals by template too.
 
-    The lists are equally long; one shorter than a window has one, of all its tokens.
+    ``width`` is that of the window: WIDTH, or the item's length if it is shorter.
     """
-    last = F.greatest(F.size(tokens[0]) - WIDTH, F.lit(0))
-    each = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.transform(
-            F.array_distinct(F.array(*[F.xxhash64(F.slice(t, i + 1, WIDTH)) for t in tokens])),
-            lambda h: F.struct(i.alias("pos"), h.alias("hash")),
-        ),
-    )
-    return F.flatten(each)
-
-
-def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items with their tokens, and their windows: all by plain tokens, those with enough literals by template too."""
     base = (
-        items.where("item_id is not null")
+        items.where(F.col("item_id").isNotNull() & F.col("text").rlike(r"[^\t\n\x0B\f\r ]"))
         .select(F.col("item_id").cast("long").alias("item_id"), "text")
         .dropDuplicates(["item_id"])
-        .select("item_id", F.transform(words(F.col("text")), F.lower).alias("item_raw"), template(F.col("text")).alias("item_tokens"), plain(F.col("text")).alias("item_plain"))
-        .where("size(item_tokens) > 0")
+    )
+    base = _typed(base, lambda t: t).select(
+        "item_id", F.transform("words", F.lower).alias("item_raw"), F.col("tokens").alias("item_tokens"), F.col("plain").alias("item_plain")
     )
     literal = lambda t: ~t.isin(NAME, NUMBER, UNIT)
-    part = lambda c: F.slice(c, F.col("item_pos") + 1, WIDTH)
     last = F.greatest(F.size("item_tokens") - WIDTH, F.lit(0))
-    each = base.select("item_id", "item_tokens", "item_plain", F.explode(F.sequence(F.lit(0), last)).alias("item_pos"))
-    enough = F.size(F.filter(part("item_tokens"), literal)) >= F.least(F.lit(MIN_LITERALS), F.size("item_tokens"))
-    by_words, by_template = F.xxhash64(part("item_plain")), F.xxhash64(part("item_tokens"))
-    hashes = F.array_distinct(F.when(enough, F.array(by_words, by_template)).otherwise(F.array(by_words)))
-    return base.drop("item_plain"), each.select("item_id", "item_pos", F.explode(hashes).alias("hash"))
+    each = base.select(
+        "item_id", "item_tokens", F.least(F.size("item_tokens"), F.lit(WIDTH)).alias("width"),
+        F.col("item_plain").alias("plain"), F.col("item_tokens").alias("tokens"), F.explode_outer(F.sequence(F.lit(0), last)).alias("item_pos"),
+    )
+    enough = F.size(F.filter(F.slice("item_tokens", F.col("item_pos") + 1, WIDTH), literal)) >= F.least(F.lit(MIN_LITERALS), F.size("item_tokens"))
+    each = each.withColumn("enough", enough).withColumns({name: F.transform(name, lambda t: F.xxhash64(t)) for name in ("plain", "tokens")})
+    by_words, by_template = (_window_hash(c, F.col("item_pos"), WIDTH) for c in ("plain", "tokens"))
+    hashes = F.array_distinct(F.when(F.col("enough"), F.array(by_words, by_template)).otherwise(F.array(by_words)))
+    return base.drop("item_plain"), each.select("item_id", "item_pos", "width", F.explode_outer(hashes).alias("hash"))
+
 
+def _slots(wanted: DataFrame, slots: int) -> Column:
+    """A byte for each of ``slots`` places, "1" where a wanted hash falls: at most SLOTS bytes, whatever the benchmark's size."""
+    place = wanted.select(F.pmod("hash", F.lit(slots)).cast("int").alias("at")).agg(F.array_sort(F.collect_set("at")).alias("at"))
+    gap = lambda at, i: at - F.when(i == 0, F.lit(-1)).otherwise(F.get("at", i - 1))
+    bits = F.array_join(F.transform("at", lambda at, i: F.lpad(F.lit("1"), gap(at, i), F.lit("0"))), "")
+    # a literal: a subquery's value would be fetched anew for every window
+    return F.lit(bytes(place.select(F.coalesce(bits, F.lit("")).cast("binary").alias("bits")).first().bits))
 
-def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+
+def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, short_items: bool = False) -> DataFrame:
     """``doc_id, item_id, n_windows, covered, n_slots, reparameterised`` per document and item found in it.
 
     Every alignment that has windows is judged, alone and together with those up to SHIFT words away; an item's
     token takes its value from the nearest. The figures are of the accepted judgement with the least shift, then
     the most windows, then the earliest alignment: covered is the share of the item's tokens under its windows;
-    reparameterised: some slot has another value than in the item. Null or empty texts match nothing; an item
-    shorter than a window is one window; rows that repeat an id count as one document, found if one of them is.
+    reparameterised: some slot has another value than in the item. Null or empty texts match nothing; rows that
+    repeat an id count as one document, found if one of them is; a row with a null id is found under that null.
+    Long texts are taken whole. An item shorter than a window is one window: with ``short_items`` it is found
+    anywhere, else only as a whole document. Other columns, of any name, are not looked at.
     """
-    base, wanted = item_windows(items)
-    small = wanted.count() <= BROADCAST_WINDOWS
-    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(
-        "text <> ''"
-    ).select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("raw"), template(F.col("text")).alias("tokens"), plain(F.col("text")).alias("plain"))
-    each = tokens.select("doc_id", "row", "raw", F.explode(_windows(F.col("tokens"), F.col("plain"))).alias("w"))
+    base, wanted = (written(df, "items") for df in item_windows(items))
+    n_wanted = wanted.count()
+    widths = sorted(r.width for r in wanted.where(F.col("width") < WIDTH).select("width").distinct().collect())
+    small = n_wanted <= BROADCAST_WINDOWS
+    slots = min(SLOTS, 1 << max(16, (16 * n_wanted).bit_length()))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("text <> ''")
+    tokens = _typed(texts.withColumn("row", F.xxhash64("text")), lambda t: F.xxhash64(t)).select("doc_id", "row", "words", "plain", "tokens")
+    bits = _slots(wanted, slots)
+    there = lambda w: F.substring(bits, F.pmod(w["hash"], F.lit(slots)).cast("int") + 1, 1) == F.lit(b"1")
+
+    def windows_of(name: str, width: int) -> Column:
+        """Those of the windows whose hash falls where a wanted one does."""
+        each = F.transform(name, lambda _, i: F.struct(i.alias("pos"), _window_hash(name, i, width).alias("hash")))
+        if width < WIDTH and not short_items:
+            each = F.when(F.size(name) == width, each).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+        whole = F.size(name) - width
+        return F.filter(each, lambda w: there(w) & (w["pos"] <= whole))
+
+    lists = [windows_of(name, width) for width in [*widths, WIDTH] for name in ("tokens", "plain")]
+    # explode would have the optimiser test the array's size before, and for that build all of it once more
+    each = tokens.select("doc_id", "row", "words", F.explode_outer(F.concat(*lists)).alias("w"))
     if small:
         hits = each.join(F.broadcast(wanted), F.col("w.hash") == F.col("hash"))
-        hits = hits.select("doc_id", "row", "item_id", "item_pos", F.col("w.pos").alias("pos"), F.slice("raw", F.col("w.pos") + 1, WIDTH).alias("vals"))
+        hits = hits.select("doc_id", "row", "item_id", "item_pos", F.col("w.pos").alias("pos"), F.transform(F.slice("words", F.col("w.pos") + 1, F.col("width")), F.lower).alias("vals"))
     else:
         found = each.select("doc_id", "row", F.col("w.pos").alias("pos"), F.col("w.hash").alias("at")).join(
             wanted, F.col("at") == F.col("hash")
-        ).select("doc_id", "row", "item_id", "item_pos", "pos")
-        hits = found.join(tokens.select("doc_id", "row", "raw").dropDuplicates(["doc_id", "row"]), ["doc_id", "row"]).select(
-            "doc_id", "row", "item_id", "item_pos", "pos", F.slice("raw", F.col("pos") + 1, WIDTH).alias("vals")
+        ).select("doc_id", "row", "item_id", "item_pos", "pos", "width")
+        raws = tokens.select("doc_id", "row", "words").dropDuplicates(["doc_id", "row"]).withColumnsRenamed({"doc_id": "__doc", "row": "__row"})
+        hits = found.join(raws, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("row") == F.col("__row"))).select(
+            "doc_id", "row", "item_id", "item_pos", "pos", F.transform(F.slice("words", F.col("pos") + 1, F.col("width")), F.lower).alias("vals")
         )
-    hits = hits.withColumn("vals", F.transform("vals", F.lower))
     # windows of one alignment: no more than the item has
     pair = ["doc_id", "row", "item_id"]
     aligned = hits.groupBy(*pair, (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
@@ -139,7 +202,7 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
     # windows of all alignments must be able to cover enough
     enough = F.sum(F.size("found")).over(Window.partitionBy(*pair)) * WIDTH >= F.lit(coverage) * F.col("item_len")
     lengths = base.select("item_id", F.size("item_tokens").alias("item_len"))
-    aligned = aligned.join(lengths, "item_id").where("item_len > 0").withColumn("enough", enough).where("enough")
+    aligned = aligned.join(lengths, "item_id").withColumn("enough", enough).where("enough")
     near = aligned.select(
         *pair, "found", "diagonal", F.explode(F.sequence(F.col("diagonal") - SHIFT, F.col("diagonal") + SHIFT)).alias("centre")
     )
@@ -201,8 +264,9 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item found in it (see ``contaminated``), items of any length anywhere in a text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"), short_items=True)
 
 
 def _sql_template(text: str) -> str:

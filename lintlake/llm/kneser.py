@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm.hashfiles import HashFiles, bits_for, build, pack, read_array, unpack, write_array
-from lintlake.llm.textnp import mix, span_hashes, text_batches, token_spans
+from lintlake.llm.textnp import mix, span_hashes, text_batches, tidied, token_spans
 from lintlake.plans.lineage import bounded_batches, scratch_path, written
 
 #: Of crc32(doc_id as text) modulo FOLDS, the remainder that is held out.
@@ -163,6 +163,7 @@ def _pack_by(shard: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch
 def count_words(docs: DataFrame, bits: int) -> HashFiles:
     """Counts of the training tokens as sorted hash arrays; ``total`` is the number of tokens."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -213,6 +214,7 @@ def train(docs: DataFrame) -> Model:
     blank = Model(words, base, pairs_uri, {}, wide, half, stats_uri, frozenset(), stat_shift, tokens, vocabulary, texts,
                   np.zeros(4), np.zeros(4), 0, 1.0)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -295,6 +297,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for part, buf, offsets in text_batches(batches, "text"):

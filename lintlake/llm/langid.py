@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.textnp import LOWER, text_batches
+from lintlake.llm.textnp import LOWER, text_batches, tidied
 from lintlake.plans.lineage import bounded_batches, written
 
 BUCKET_BITS = 14
@@ -63,6 +63,7 @@ def train(docs: DataFrame) -> TextModel:
     rows = rows.where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT, F.lit(True)))
     size = 1 << BUCKET_BITS
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for part, buf, offsets in text_batches(batches, "text"):
@@ -95,6 +96,7 @@ def text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
     others = [c for c in rows.columns if c != "text"]
     ordered = rows.select(*others, "text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         k = len(model.languages)

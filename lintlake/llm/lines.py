@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm.hashfiles import HashFiles, bits_for, distinct_files, pack, unpack
-from lintlake.llm.textnp import _INVERSE, label_pairs, mix, powers, text_batches
+from lintlake.llm.textnp import _INVERSE, label_pairs, mix, powers, text_batches, tidied
 from lintlake.plans.graph import connected_components
 from lintlake.plans.lineage import bounded_batches, cut, remove, written
 
@@ -78,6 +78,7 @@ def _lid(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
 def line_table(docs: DataFrame) -> DataFrame:
     """``lid, h, chars`` of every line: its place, a 64-bit hash of its text, its length."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offsets in text_batches(batches, "text"):
             starts, ends, row, number = line_spans(buf, offsets)
@@ -117,6 +118,7 @@ def segment_keys(hasher: Hasher, s: np.ndarray, n: np.ndarray, h: np.ndarray, ta
 def meeting_lines(docs: DataFrame, tau: int, bits: int) -> DataFrame:
     """``key, h, role`` for the segments in which two different lines meet, one of them with a segment of its own."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -163,6 +165,7 @@ def meeting_lines(docs: DataFrame, tau: int, bits: int) -> DataFrame:
 def lines_in(docs: DataFrame, wanted: HashFiles) -> DataFrame:
     """``h, line`` for the lines whose hash is wanted, one row for each distinct line."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, buf, offsets in text_batches(batches, "text"):
             starts, ends, _, _ = line_spans(buf, offsets)
@@ -268,6 +271,7 @@ def verified_edges(met: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
         .join(lines, "h")
     )
 
+    @tidied
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(table: pa.Table) -> pa.RecordBatch:
             key, ta, tb, c, h, role = (table.column(x).to_numpy() for x in ("key", "ta", "tb", "c", "h", "role"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.hashfiles import HashFiles, bits_for, build, pack, unpack
 from lintlake.llm.suffix import permuted_lcp, suffix_array
-from lintlake.llm.textnp import _INVERSE, mix, powers, utf8, window_hashes
+from lintlake.llm.textnp import _INVERSE, mix, powers, tidied, utf8, window_hashes
 from lintlake.plans.lineage import bounded_batches, remove, written
 
 LENGTH = 100
@@ -122,6 +122,7 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
 def repeated_strings(docs: DataFrame, bits: int) -> HashFiles:
     """Hashes of the chosen strings that occur at least twice, as sorted arrays."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -150,6 +151,7 @@ def repeated_strings(docs: DataFrame, bits: int) -> HashFiles:
 def occurrences(docs: DataFrame, repeated: HashFiles) -> DataFrame:
     """``h, f, doc_id, low, high``: the segments of every text whose chosen string occurs elsewhere."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, off, (row, low, high, h, f) in _each(batches):
             there = repeated.find(h)[0]
@@ -170,6 +172,7 @@ def open_segments(docs: DataFrame, wanted: HashFiles) -> DataFrame:
     """The text of the wanted segments: ``kind 0: h, doc_id, low, text``; a split one gives its single windows,
     ``kind 1: h, f`` two hashes of the window, ``doc_id, low``."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, buf, off, (row, low, high, h, _) in _each(batches):
             there, split = wanted.find(_place(ids[row], low - off[row]), "split")
@@ -269,6 +272,7 @@ def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray,
 def sorted_repeats(rows: DataFrame) -> DataFrame:
     """``doc_id, start, stop``: ranges of ``h, doc_id, low, text`` that repeat an earlier place."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -323,6 +327,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     kinds = first.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
     several = first.join(kinds, "h").select("doc_id", "low", (F.col("kinds") > SPLIT).cast("int").alias("split"))
 
+    @tidied
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, low, split = (batch.column(k).to_numpy() for k in range(3))
@@ -346,6 +351,7 @@ def window_repeats(single: DataFrame, heads: DataFrame, bits: int) -> DataFrame:
     """``doc_id, start, stop``: ranges of the windows (two hashes, place) that are not at the first place of their like."""
     both = lambda h, f: mix(mix(h.view(np.uint64)) + f.view(np.uint64))
 
+    @tidied
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, f, doc, low = (batch.column(k).to_numpy() for k in range(4))
@@ -358,6 +364,7 @@ def window_repeats(single: DataFrame, heads: DataFrame, bits: int) -> DataFrame:
 
     first = build(heads.mapInArrow(packed, "p int, b0 binary, b1 binary"), bits, make, "heads", {"place": "<u8"})
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, f, doc, low = (batch.column(k).to_numpy() for k in range(4))
@@ -382,6 +389,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ranges = repeated_ranges(known).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("ranges"))
     joined = known.join(ranges, "doc_id", "left").unionByName(base.where("doc_id is null").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType)))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.textnp import label_pairs, mix, sequence_hashes, span_hashes, text_batches, token_spans
+from lintlake.llm.textnp import label_pairs, mix, sequence_hashes, span_hashes, text_batches, tidied, token_spans
 from lintlake.plans.graph import connected_components
 from lintlake.plans.lineage import bounded_batches, cut, written
 
@@ -90,6 +90,7 @@ def _signature_array(column: pa.Array) -> np.ndarray:
 def sketch(docs: DataFrame) -> DataFrame:
     """``doc_id, n, f1, f2, sig`` per row: number of shingles, a 128-bit fingerprint of the set, the signature."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offsets in text_batches(batches, "text"):
             h, bounds = shingle_sets(buf, offsets)
@@ -109,6 +110,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def _first_level(reps: DataFrame, runs: int) -> DataFrame:
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mix(np.arange(7_000, 7_000 + runs, dtype=np.uint64))
         for batch in batches:
@@ -121,6 +123,7 @@ def _first_level(reps: DataFrame, runs: int) -> DataFrame:
 
 
 def _next_level(rows: DataFrame) -> DataFrame:
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy().view(np.uint64)
@@ -152,6 +155,7 @@ def bucket_edges(key: np.ndarray, rep: np.ndarray, sig: np.ndarray, floor: float
 
 
 def _compare_buckets(rows: DataFrame, floor: float) -> DataFrame:
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -234,6 +238,7 @@ def verify(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     placed = placed.withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(placed, "rep")
 
+    @tidied
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offsets in text_batches(batches, "text"):
             h, bounds = shingle_sets(buf, offsets)

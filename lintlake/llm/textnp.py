@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,29 @@ def powers(n: int, base: int = _ODD) -> np.ndarray:
     return have[:n]
 
 
+def tidy() -> None:
+    """Give memory that is free back to the system: workers live on, and the next stage may need it elsewhere."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def tidied(run: Callable) -> Callable:
+    """A function over Arrow batches that tidies up after its last batch."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return whole
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (splitmix)."""
     x = x ^ (x >> np.uint64(30))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.textnp import mix, part_hashes, text_batches, token_spans, utf8
+from lintlake.llm.textnp import mix, part_hashes, text_batches, tidied, token_spans, utf8
 from lintlake.plans.lineage import bounded_batches
 
 #: Training rows taken of each label, by hash of doc_id, and the longest text used in training.
@@ -324,6 +324,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for part, buf, offsets in text_batches(batches, "text"):
@@ -353,6 +354,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for part, buf, offsets in text_batches(batches, "text"):

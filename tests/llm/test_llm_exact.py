@@ -261,6 +261,32 @@ def test_bpe_job(spark):
     assert bpe.digests(bpe.bpe_encode(docs(spark, []), path), path).count() == 0
 
 
+def test_bpe_round_trip_in_one_pass(spark):
+    """Equal rows, null ids and texts of many levels of pieces, against the library."""
+    r = random.Random(71)
+    long = [(k, prose(r, r.choice([40, 300, 900]))) for k in (1, 1, 2, None)]
+    rows = long + long[:2] + [(3, None), (3, ""), (None, None), (4, "a<|endoftext|>b" * 90), (5, " " * 3000), (6, "日本語" * 500), (7, "x" * 5000)]
+    path = bpe.default_tokenizer()
+    tokenizer = bpe.load(path)
+    want = sorted((str(k), *bpe.reference_digest(tokenizer, t)) for k, t in rows)
+    for size in (64, 700, bpe.PIECE_CHARS):
+        got = bpe.round_trip(docs(spark, rows, True), path, size).collect()
+        assert sorted((str(x.doc_id), x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in got) == want
+    assert bpe.round_trip(docs(spark, []), path).count() == 0
+
+
+def test_bpe_table_decodes_as_the_library():
+    tokenizer = bpe.load(bpe.default_tokenizer())
+    turn = bpe.Decoder(tokenizer)
+    assert turn.table is not None
+    r = random.Random(72)
+    size = tokenizer.get_vocab_size()
+    for _ in range(500):
+        ids = [r.randrange(size) for _ in range(r.randint(0, 40))]
+        assert turn(ids) == tokenizer.decode(ids, skip_special_tokens=False)
+    assert turn([5, size + 9, 6]) == tokenizer.decode([5, size + 9, 6], skip_special_tokens=False)
+
+
 # -- 8 -----------------------------------------------------------------------------------------------------------
 
 
