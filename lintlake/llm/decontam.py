@@ -91,10 +91,12 @@ def _typed(df: DataFrame, form: Callable[[Column], Column], text: str = "text")
 
     def token(w: Column, i: Column) -> Column:
         after_number = (i > 0) & ~small(i - 1) & F.get("words", i - 1).rlike(r"\p{Nd}$")
+        special = w.rlike(r"[\p{Lu}\p{Nd}]")
+        unit = F.regexp_replace(F.when(special, close(w, i)).otherwise(F.lower(w)), _UNIT, f"{UNIT}$1")
         return (
-            F.when(after_number & F.lower(w).rlike(_UNIT), form(_bare(F.regexp_replace(F.lower(w), _UNIT, f"{UNIT}$1"))))
+            F.when(after_number, form(_bare(unit)))
             .when(small(i), F.get("plain", i))
-            .when(w.rlike(r"[\p{Lu}\p{Nd}]"), form(_bare(close(w, i))))
+            .when(special, form(_bare(close(w, i))))
             .otherwise(F.get("plain", i))
         )
 
@@ -254,12 +256,13 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
             F.exists("slots", lambda s: s["was"] != s["now"]).alias("reparameterised"),
             (F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["was"])))) == F.size("slots")).alias("consistent"),
         )
-        .where((F.col("covered") >= coverage) & F.col("consistent"))
     )
     figures = ["n_windows", "covered", "n_slots", "reparameterised"]
-    best = judged.groupBy("doc_id", "item_id").agg(
-        F.max_by(F.struct(*figures), F.struct(-F.col("shift"), "n_windows", -F.col("centre"), "covered")).alias("best")
-    )
+    # accepted within the aggregation: as a filter before it the test would be pushed below the lists it looks at, which
+    # would then be built anew for each of their elements
+    accepted = (F.col("covered") >= coverage) & F.col("consistent")
+    order = F.when(accepted, F.struct(-F.col("shift"), "n_windows", -F.col("centre"), "covered"))
+    best = judged.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*figures), order).alias("best")).where("best is not null")
     return best.select("doc_id", "item_id", *[f"best.{c}" for c in figures])
 
 
