@@ -276,12 +276,36 @@ def d7(spark, sf_dir):
     return detect.scan_secret_history(patches).select("project_id", "commit", "file", "line", "rule_id", "evidence")
 
 
-@query("d8_python_flows")
+_PY_SINKS = {"os.system(v)": "python-command-injection", "conn.execute(v)": "python-sql-injection", "pickle.loads(v)": "python-unsafe-deserialization", "open(v)": "python-path-traversal"}
+_JAVA_SINKS = {"statement.executeQuery(q);": "java-sql-injection", "Runtime.getRuntime().exec(q);": "java-command-injection", "new FileInputStream(q);": "java-path-traversal"}
+
+
+def _flow_sql(lines: str, dirty: str, sinks: dict[str, str], said: str, weak: tuple[str, str, str]) -> str:
+    """Findings of programs with one name: ``dirty`` says from the lines of a file whether the name holds input at a line."""
+    rule = " ".join(f"WHEN '{t}' THEN '{r}'" for t, r in sinks.items())
+    return f"""WITH l AS ({lines}), t AS (SELECT *, {dirty} AS dirty FROM l)
+ SELECT project_id, rel_path AS file, line, CASE text {rule} END AS rule_id, 'HIGH' AS severity, {said} AS evidence FROM t WHERE dirty AND CASE text {rule} END IS NOT NULL
+ UNION ALL SELECT project_id, rel_path, line, '{weak[1]}', 'MEDIUM', {weak[2]} FROM t WHERE text = '{weak[0]}'"""
+
+
+@query("d8_python_flows", _flow_sql(
+    A.program_lines(".py"), "coalesce(bool_or(starts_with(text, 'v = request')) OVER (PARTITION BY rel_path), false)", _PY_SINKS,
+    "concat('tainted input -> ', string_split(text, '(')[1], ' (line ', CAST(line AS VARCHAR), ')')",
+    ("hashlib.md5(v)", "python-weak-hash", "concat('weak hash: hashlib.md5 (line ', CAST(line AS VARCHAR), ')')"),
+))
 def d8(spark, sf_dir):
     return flows.scan_python_flows(A.code_files(spark, sf_dir, A.program_lines(".py"))).select(*_OUT)
 
 
-@query("d9_java_flows")
+_HELD = "CASE WHEN starts_with(text, 'String q = request') THEN 1 WHEN starts_with(text, 'String q =') THEN 0 END"
+
+
+@query("d9_java_flows", _flow_sql(
+    A.program_lines(".java"),
+    # what was assigned last counts; before that, whether input is assigned anywhere
+    f"coalesce(last_value({_HELD} IGNORE NULLS) OVER (PARTITION BY rel_path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), max({_HELD}) OVER (PARTITION BY rel_path), 0) = 1",
+    _JAVA_SINKS, "concat('request input -> ', text)", ('MessageDigest.getInstance("MD5");', "java-weak-crypto", "text"),
+))
 def d9(spark, sf_dir):
     return flows.scan_java_flows(A.code_files(spark, sf_dir, A.program_lines(".java"))).select(*_OUT)
 
