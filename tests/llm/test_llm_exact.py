@@ -47,6 +47,32 @@ def test_warc_round_trip(spark, tmp_path):
     assert all(r.n_requests == r.n_metadata == 1 for r in got.values())
 
 
+def test_warc_null_and_repeated_ids(spark, tmp_path):
+    """A row a page, whatever its id; clashing extra columns; one payload on most pages."""
+    rows = [(1, "u", "aaaa"), (1, "u", "bbbb"), (1, "u", "bbbb"), (None, "v", "aaaa"), (None, "v", "zz"), (None, None, "zz"), (2, None, None)]
+    rows += [(k, f"w{k}", "same") for k in range(10, 60)]
+    path = str(tmp_path / "in")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.withColumns({"payload_digest": F.lit("x"), "occurrence": F.lit(7), "holder": F.lit(1)}).write.parquet(path + "/pages.parquet")
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.n_requests, r.n_metadata) for r in warc.op1_warc_transactions(spark, path).collect())
+    want = Counter({(1, 4, "response", None, 1, 1): 3, (None, 4, "revisit", 1, 1, 1): 1, (None, 2, "response", None, 1, 1): 2, (2, 0, "response", None, 1, 1): 1})
+    want.update({(k, 4, "revisit", 59, 1, 1): 1 for k in range(10, 59)})
+    want[(59, 4, "response", None, 1, 1)] += 1
+    assert got == want
+
+
+def test_warc_reads_by_chunks(monkeypatch):
+    """Members, plain files and records across chunk borders give the same records."""
+    import gzip
+
+    monkeypatch.setattr(warc, "CHUNK", 37)
+    one = lambda k: f"WARC/1.1\r\nWARC-Record-ID: <{k}>\r\nContent-Length: {k * 40}\r\n\r\n".encode() + bytes([65 + k]) * (k * 40) + b"\r\n\r\n"
+    parts = [one(k) for k in range(5)]
+    for data in (b"".join(parts), gzip.compress(b"".join(parts)), b"".join(gzip.compress(x) for x in parts)):
+        assert [(r["record_id"], len(r["payload"])) for r in warc.parse_records(data)] == [(f"<{k}>", k * 40) for k in range(5)]
+        assert len(list(warc.parse_records(data[:-60]))) < 5
+
+
 def test_warc_empty(spark, tmp_path):
     assert warc_rows(spark, tmp_path, []) == {}
 
@@ -463,3 +489,27 @@ def test_toxicity_without_labels(spark):
     table = docs(spark, [(1, "a b"), (2, None)])
     model = toxicity.train(table, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {x.predicted for x in toxicity.score(table, model).collect()} == {0}
+
+
+def test_line_dedup_clashing_names(spark):
+    """Columns of the operator's own names are replaced; other rows and columns stay."""
+    rows = [(1, "same line of text\nown words"), (2, "same line of text\nother words"), (3, None), (None, "same line of text")]
+    df = docs(spark, rows).withColumns({"n_lines": F.lit("x"), "n_removed": F.lit("y"), "dup_lines": F.lit(None).cast("int"), "h": F.lit(4)})
+    got = {(r.doc_id, r.text, r.n_lines, r.n_removed, r.h) for r in lines.dedup_lines(df).collect()}
+    assert got == {(1, "same line of text\nown words", 2, 0, 4), (2, "other words", 2, 1, 4), (3, None, 1, 0, 4), (None, "same line of text", 1, 0, 4)}
+
+
+def test_toxicity_repeats_and_null_ids(spark, tmp_path):
+    """Equal rows have equal scores; a null id is not held out; the query gives a row a row."""
+    r = random.Random(91)
+    rows = [(k, prose(r, 30) + (" vile scum" if k % 2 else "")) for k in range(300)]
+    rows += [rows[3], (None, "vile scum"), (None, None), (7, "")]
+    path = str(tmp_path)
+    docs(spark, rows, extra=True).write.parquet(path + "/documents.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(300)] + [(None, 1)], "doc_id long, toxic int").write.parquet(path + "/labels.parquet")
+    got = toxicity.op10_toxicity_crf(spark, path).collect()
+    assert len(got) == len(rows) and all(0 <= x.score <= 1 and x.held_out is not None for x in got)
+    assert len({x.score for x in got if x.doc_id == 3}) == 1
+    assert [x.held_out for x in got if x.doc_id is None] == [False, False]
+    held = [x for x in got if x.held_out and x.doc_id != 7]
+    assert sum(x.predicted == x.doc_id % 2 for x in held) >= 0.9 * len(held)
