@@ -364,8 +364,9 @@ def checked(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """``docs`` without the lines that repeat an earlier line, with ``n_lines, n_removed, dup_lines``.
 
-    Keeps every row and column; the text column of a row that loses lines is joined anew from the rest. Rows
-    with a null id or text keep their text. Of rows that repeat an id (their lines could not be told apart)
+    Keeps every row and column, but for columns of its own three names, which are replaced; the text column of a row
+    that loses lines is joined anew from the rest. Rows with a null id or text keep their text, an empty table stays
+    empty, and a text of any length is taken whole. Of rows that repeat an id (their lines could not be told apart)
     one is looked at and the rest keep their text.
     """
     plain = checked(docs.where("doc_id is not null and text is not null").select("doc_id", "text"))
@@ -375,7 +376,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     joined = docs.join(again, docs["doc_id"] == F.col("__id"), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     return joined.select(
-        *[docs[c] for c in docs.columns if c != "text"],
+        *[docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_removed", "dup_lines")],
         F.when(F.col("__dup").isNotNull(), kept).otherwise(F.col("text")).alias("text"),
         F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
         F.when(F.col("__dup").isNotNull(), F.size("__dup")).otherwise(0).cast("long").alias("n_removed"),

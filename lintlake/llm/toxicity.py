@@ -17,19 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.textnp import mix, part_hashes, text_batches, tidied, token_spans, utf8
+from lintlake.llm.textnp import mix, part_hashes, text_batches, tidied, tidy, token_spans, utf8
 from lintlake.plans.lineage import bounded_batches
 
-#: Training rows taken of each label, by hash of doc_id, and the longest text used in training.
+#: The bounded sample of labelled rows: so many of each label, by hash of doc_id, of texts of at most so many characters.
 TRAIN_DOCS = 2000
 TRAIN_CHARS = 20_000
-#: Features kept, least number of neighbourhoods and share of toxic ones that make a feature typical.
-MAX_FEATURES = 20_000
+#: Least number of neighbourhoods and share of toxic ones that make a feature typical.
 MIN_CONTEXTS = 10
 MIN_SHARE = 0.9
-#: Tokens on each side of a training window, windows, rounds of training, shrinkage.
+#: Tokens on each side of a training window, windows worked on at a time, rounds of training, shrinkage.
 SIDE = 6
-MAX_WINDOWS = 20_000
+WINDOWS = 20_000
 ROUNDS = 80
 SHRINK = 1e-4
 
@@ -105,10 +104,8 @@ def typical_features(features: np.ndarray, row: np.ndarray, first: np.ndarray, t
         clean = np.where(fc[at] == ft, nc[at], 0) if len(fc) else np.zeros(len(ft), int)
         share = nt / (nt + (clean + 0.0) * totals[1] / totals[0])
         good = (nt >= MIN_CONTEXTS) & (share >= MIN_SHARE)
-        found.append(np.stack([ft[good], nt[good].astype(np.uint64)], 1))
-    every = np.concatenate(found)
-    every = every[np.argsort(every[:, 1], kind="stable")[::-1][:MAX_FEATURES]]
-    return np.unique(every[:, 0])
+        found.append(ft[good])
+    return np.unique(np.concatenate(found))
 
 
 def _emissions(known: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -148,8 +145,6 @@ def train_crf(known: np.ndarray, labels: np.ndarray, first: np.ndarray, n_featur
     active = np.flatnonzero((known >= 0).any(1))
     spaced = np.arange(0, total, max(1, total // max(2000, len(active))))
     centres = np.concatenate([active, spaced])
-    if len(centres) > MAX_WINDOWS:
-        centres = centres[np.linspace(0, len(centres) - 1, MAX_WINDOWS).astype(np.int64)]
     row = np.searchsorted(first, centres, "right") - 1
     at = centres[:, None] + np.arange(-SIDE, SIDE + 1)[None]
     real = (at >= first[row][:, None]) & (at < first[row + 1][:, None])
@@ -166,13 +161,17 @@ def train_crf(known: np.ndarray, labels: np.ndarray, first: np.ndarray, n_featur
     np.add.at(observed, (y[:, :-1][real[:, 1:]], y[:, 1:][real[:, 1:]]), 1)
     n_w = len(centres)
     state = [np.zeros(n_features + 5), np.zeros(n_features + 5)]
-    flat = f.reshape(-1)
-    use = flat >= 0
     for k in range(1, ROUNDS + 1):
-        m, expected = _chain(_emissions(f, w, b), trans, real)
-        rest = (y - m) * real
-        gw = np.bincount(flat[use], np.repeat(rest.reshape(-1), f.shape[2])[use], n_features) / n_w
-        g = np.concatenate([gw - SHRINK * w, [rest.sum() / n_w], ((observed - expected) / n_w).ravel() - SHRINK * trans.ravel()])
+        gw, gb, expected = np.zeros(n_features), 0.0, np.zeros((2, 2))
+        for at in range(0, n_w, WINDOWS):
+            part = slice(at, at + WINDOWS)
+            m, moves = _chain(_emissions(f[part], w, b), trans, real[part])
+            rest = (y[part] - m) * real[part]
+            flat = f[part].reshape(-1)
+            use = flat >= 0
+            gw += np.bincount(flat[use], np.repeat(rest.reshape(-1), f.shape[2])[use], n_features)
+            gb, expected = gb + rest.sum(), expected + moves
+        g = np.concatenate([gw / n_w - SHRINK * w, [gb / n_w], ((observed - expected) / n_w).ravel() - SHRINK * trans.ravel()])
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.99 * state[1] + 0.01 * g * g
         move = 0.15 * (state[0] / (1 - 0.9**k)) / (np.sqrt(state[1] / (1 - 0.99**k)) + 1e-8)
@@ -291,8 +290,9 @@ def bucket(doc_id, n: int = 5):
 def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS) -> Model:
     """Fit on up to ``per_label`` rows of each label, the least by hash of doc_id, that are not held out.
 
-    Rows with a null id or label are not used; of rows that repeat an id the larger label counts. Texts longer
-    than TRAIN_CHARS are left out of training only.
+    The sample is bounded by ``per_label`` and, for the driver's memory, by TRAIN_CHARS: longer texts are left out of
+    training only. Rows with a null id or label are not used; of rows that repeat an id the larger label counts. A
+    table without labels, or empty, gives a model without features, which rejects nothing.
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     named = named.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -312,7 +312,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS) -> Mo
     texts, toxic = list(rows["text"]), rows["toxic"].to_numpy()
     del rows
     model = fit(texts, toxic, share or 0.0)
-    pa.default_memory_pool().release_unused()  # the driver goes on with other work
+    del texts, toxic
+    tidy()  # the driver goes on with other work
     return model
 
 
@@ -366,8 +367,8 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's toxicity, with spans, by a model that has not seen held-out labels. A null id is not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return score(docs, train(docs, labels)).select(
-        "doc_id", (bucket(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "spans"
-    )
+    held_out = F.coalesce(bucket(F.col("doc_id")) == 0, F.lit(False))
+    return score(docs, train(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted", "spans")
