@@ -120,8 +120,7 @@ def correlate_findings(findings: DataFrame, order: list[str]) -> DataFrame:
     # of equal ranks the first in order gives the severity
     groups = members.groupBy("project_id", "component").agg(
         F.array_sort(F.collect_list(item)).alias("items"),
-        F.max(rank).alias("top"),
-        F.array_sort(F.collect_list(F.struct((-rank).alias("r"), F.struct(*order).alias("o"), F.col("severity").alias("severity")))).getItem(0)["severity"].alias("severity"),
+        F.min_by("severity", F.struct((-rank).alias("r"), F.struct(*order).alias("o"))).alias("severity"),
         F.when(F.bool_and(F.lower("confidence") == "high"), "high").otherwise("medium").alias("confidence"),
     ).join(reasons, "component")
     take = lambda *names: F.transform("items", lambda i: F.struct(*[i[n].alias(n) for n in names]))

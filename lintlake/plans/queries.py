@@ -288,6 +288,23 @@ def _flow_sql(lines: str, dirty: str, sinks: dict[str, str], said: str, weak: tu
  UNION ALL SELECT project_id, rel_path, line, '{weak[1]}', 'MEDIUM', {weak[2]} FROM t WHERE text = '{weak[0]}'"""
 
 
+@query("d7_secret_history_documents", f"""
+WITH l AS (SELECT lang AS project_id, concat('c', CAST(doc_id AS VARCHAR)) AS commit, source AS file, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, string_split(text, chr(10)) AS parts FROM documents),
+v AS (SELECT project_id, commit, file, CAST(i AS INTEGER) AS line, parts[i] AS t, regexp_extract(parts[i], {_re(detect.ASSIGNMENT)}, 1) AS v FROM l),
+k AS (SELECT *, ({' OR '.join(f'regexp_matches(t, {_re(p)})' for _, _, p in detect.SECRET_RULES)}) AS known,
+      list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: -(len(list_filter(string_split(v, ''), lambda d: d = c)) / length(v)) * log2(len(list_filter(string_split(v, ''), lambda d: d = c)) / length(v)))) AS bits FROM v)
+{' UNION ALL '.join(f"SELECT project_id, commit, file, line, '{n}' AS rule_id FROM v WHERE regexp_matches(t, {_re(p)})" for n, _, p in detect.SECRET_RULES)}
+UNION ALL SELECT project_id, commit, file, line, 'secret' FROM k WHERE v <> '' AND NOT known AND bits >= {detect.MIN_ENTROPY} AND NOT regexp_matches(v, {_re(K.PLACEHOLDER)})""")
+def d7_documents(spark, sf_dir):
+    """Lines of documents as added lines of commits."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    patches = docs.select(
+        F.col("lang").alias("project_id"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("commit"), F.col("source").alias("path"),
+        F.posexplode(F.split("text", "\n")).alias("pos", "text"),
+    ).withColumn("line", F.col("pos") + 1)
+    return detect.scan_secret_history(patches.drop("pos")).select("project_id", "commit", "file", "line", "rule_id")
+
+
 @query("d8_python_flows", _flow_sql(
     A.program_lines(".py"), "coalesce(bool_or(starts_with(text, 'v = request')) OVER (PARTITION BY rel_path), false)", _PY_SINKS,
     "concat('tainted input -> ', string_split(text, '(')[1], ' (line ', CAST(line AS VARCHAR), ')')",
@@ -362,11 +379,34 @@ def u3(spark, sf_dir):
     return deduplicate(f, ORDER).select("project_id", "rule_id", "file", "line", "evidence")
 
 
-@query("j9_correlate")
+#: Projects of some tens of files: a project of the table by a range of orders. One file in ten is a configuration file.
+_J9_INPUT = f"""SELECT concat(project_id, '-', CAST(CAST(floor(CAST(n AS INT) / 1000) AS INT) AS STRING)) AS project_id, engine_rank, rule_rank, rule_id, title, severity, confidence, cwe, cve, cvss,
+ CASE WHEN right(n, 1) = '7' THEN concat('deploy/compose-', n, '.yml') ELSE file END AS file, line, evidence, remediation, status
+ FROM (SELECT *, replace(replace(file, 'src/f', ''), '.py', '') AS n FROM ({A.FINDINGS}) x) y"""
+
+
+_J9 = f"""
+WITH RECURSIVE f AS (SELECT *, string_split(lower(rule_id), '-')[1] AS family, CAST(regexp_matches(evidence, {_re(K.SOURCE_TERMS)}) AS INT) AS s, CAST(regexp_matches(evidence, {_re(K.SINK_TERMS)}) AS INT) AS t,
+      CAST(regexp_matches(file, {_re(K.CONFIG_FILES)}) AS INT) AS c, row_number() OVER (PARTITION BY project_id ORDER BY {', '.join(ORDER)}) AS ord,
+      list_position(['INFO','LOW','MEDIUM','HIGH','CRITICAL'], upper(severity)) AS rank FROM ({_J9_INPUT.replace('AS STRING', 'AS VARCHAR')})),
+n AS (SELECT *, row_number() OVER () AS id FROM (SELECT project_id, file, family, s, t, c, count(*) AS k FROM f GROUP BY ALL)),
+l AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.file = b.file THEN '{correlate.SHARED_FILE}' WHEN a.family = b.family THEN '{correlate.SHARED_FAMILY}'
+      WHEN (a.s = 1 AND b.t = 1) OR (b.s = 1 AND a.t = 1) THEN '{correlate.SOURCE_SINK}' WHEN a.c = 1 OR b.c = 1 THEN '{correlate.CONFIG_CODE}' END AS kind
+      FROM n a JOIN n b ON a.project_id = b.project_id AND (a.id <> b.id OR a.k > 1)),
+links AS (SELECT DISTINCT a, b, kind FROM l WHERE kind IS NOT NULL),
+reach(id, m) AS (SELECT id, id FROM n UNION SELECT r.id, links.b FROM reach r JOIN links ON r.m = links.a),
+comp AS (SELECT id, min(m) AS component FROM reach GROUP BY id),
+kinds AS (SELECT component, list_sort(list(DISTINCT kind)) AS kinds FROM links JOIN comp ON comp.id = links.a GROUP BY 1)
+SELECT f.project_id, concat('risk-', substr(sha256(arg_min(concat(rule_id, '|', f.file, '|', CAST(line AS VARCHAR), '|', evidence), ord)), 1, 16)) AS group_id,
+ arg_min(severity, (10 - rank) * 1000000 + ord) AS severity, CASE WHEN bool_and(lower(confidence) = 'high') THEN 'high' ELSE 'medium' END AS confidence, CAST(count(*) AS INTEGER) AS n, array_to_string(any_value(kinds), '; ') AS rationale
+FROM f JOIN n ON f.project_id = n.project_id AND f.file = n.file AND f.family = n.family AND f.s = n.s AND f.t = n.t AND f.c = n.c JOIN comp ON comp.id = n.id JOIN kinds ON kinds.component = comp.component
+GROUP BY f.project_id, comp.component HAVING count(*) > 1
+"""
+
+
+@query("j9_correlate", _J9)
 def j9(spark, sf_dir):
-    f = findings(spark, sf_dir).select(*F_COLS)
-    # projects of a few files each, so that groups stay readable
-    f = f.withColumn("project_id", F.concat_ws("-", "project_id", F.regexp_extract("file", r"f(\d+)", 1)))
+    f = A.sql(spark, sf_dir, _J9_INPUT).select(*F_COLS)
     return correlate.correlate_findings(f, ORDER).select("project_id", "group_id", "severity", "confidence", F.size("finding_references").alias("n"), "rationale")
 
 
@@ -469,13 +509,9 @@ def v5(spark, sf_dir):
     return G.replay_lifecycle(A.sql(spark, sf_dir, A.SCANS))
 
 
-#: The part of the findings that the SQL form of the lifecycle has.
-_J2_PART = "file like '%0.py'"
-
-
-def _lifecycle(spark, sf_dir, part="true"):
-    """History after two scans: findings before 1995-06 and those after, of all findings or a part."""
-    f = findings(spark, sf_dir).where(part)
+def _lifecycle(spark, sf_dir):
+    """History after two scans: findings before 1995-06 and those after."""
+    f = findings(spark, sf_dir)
     old = f.where("seen_at < timestamp '1995-06-01 00:00:00'")
     new = f.where("seen_at >= timestamp '1995-06-01 00:00:00'")
     empty = spark.createDataFrame([], "project_id string, fingerprint string, rule_id string, file string, line int, title string, severity string, first_seen timestamp, last_seen timestamp, times_seen int, status string")
@@ -486,7 +522,7 @@ def _lifecycle(spark, sf_dir, part="true"):
 
 
 _J2 = f"""
-WITH f AS (SELECT *, {_FP} AS fp FROM ({A.FINDINGS}) WHERE file LIKE '%0.py'),
+WITH f AS (SELECT *, {_FP} AS fp FROM ({A.FINDINGS})),
 h AS (SELECT project_id, fp, CASE substr(fp, 1, 1) WHEN 'a' THEN 'fixed' WHEN 'b' THEN 'accepted-risk' ELSE 'open' END AS status FROM f WHERE seen_at < TIMESTAMP '1995-06-01' GROUP BY 1, 2),
 n AS (SELECT DISTINCT project_id, fp FROM f WHERE seen_at >= TIMESTAMP '1995-06-01'),
 j AS (SELECT coalesce(h.project_id, n.project_id) AS project_id, coalesce(h.fp, n.fp) AS fingerprint, h.fp IS NOT NULL AS known, n.fp IS NOT NULL AS found, h.status AS old FROM h FULL JOIN n ON h.project_id = n.project_id AND h.fp = n.fp),
@@ -498,20 +534,20 @@ r AS (SELECT project_id, fingerprint, CASE WHEN NOT found THEN 'fixed' WHEN old
 
 @query("j2_update_lifecycle", _J2 + "SELECT * FROM r")
 def j2(spark, sf_dir):
-    return _lifecycle(spark, sf_dir, _J2_PART)[2].select("project_id", "fingerprint", "status", "times_seen", "first_seen", "last_seen")
+    return _lifecycle(spark, sf_dir)[2].select("project_id", "fingerprint", "status", "times_seen", "first_seen", "last_seen")
 
 
-@query("j2_update_lifecycle_all")
+@query("j2_update_lifecycle_all", _J2 + "SELECT * FROM r")
 def j2_all(spark, sf_dir):
     return _lifecycle(spark, sf_dir)[2].select("project_id", "fingerprint", "status", "times_seen", "first_seen", "last_seen")
 
 
 @query("a7_lifecycle_counts", _J2 + "SELECT project_id, status, count(*) AS n FROM r GROUP BY 1, 2")
 def a7(spark, sf_dir):
-    return G.lifecycle_counts(_lifecycle(spark, sf_dir, _J2_PART)[2])
+    return G.lifecycle_counts(_lifecycle(spark, sf_dir)[2])
 
 
-@query("a7_lifecycle_counts_all")
+@query("a7_lifecycle_counts_all", _J2 + "SELECT project_id, status, count(*) AS n FROM r GROUP BY 1, 2")
 def a7_all(spark, sf_dir):
     return G.lifecycle_counts(_lifecycle(spark, sf_dir)[2])
 
@@ -651,22 +687,22 @@ def j6(spark, sf_dir):
     return G.verify_remediation(old, now, _now()).select("project_id", "fingerprint", "status", "verification.finding_present")
 
 
-@query("j10_approve_remediation", f"SELECT project_id, fp AS fingerprint, CASE WHEN substr(fp, 1, 1) = 'c' THEN 'approved' ELSE 'proposed' END AS status FROM ({_AFP}) WHERE line <= 4")
+@query("j10_approve_remediation", f"SELECT project_id, fp AS fingerprint, CASE WHEN substr(fp, 1, 1) = 'c' THEN 'approved' ELSE 'proposed' END AS status FROM ({_AFP})")
 def j10(spark, sf_dir):
-    return _plan(spark, sf_dir)[0].select("project_id", "fingerprint", "status")
+    return _plan(spark, sf_dir, "true")[0].select("project_id", "fingerprint", "status")
 
 
-@query("j10_approve_remediation_all")
+@query("j10_approve_remediation_all", f"SELECT project_id, fp AS fingerprint, CASE WHEN substr(fp, 1, 1) = 'c' THEN 'approved' ELSE 'proposed' END AS status FROM ({_AFP})")
 def j10_all(spark, sf_dir):
     return _plan(spark, sf_dir, "true")[0].select("project_id", "fingerprint", "status")
 
 
-@query("a6_remediation_summary", f"SELECT project_id, CASE WHEN substr(fp, 1, 1) = 'c' THEN 'approved' ELSE 'proposed' END AS status, count(*) AS n FROM ({_AFP}) WHERE line <= 4 GROUP BY 1, 2")
+@query("a6_remediation_summary", f"SELECT project_id, CASE WHEN substr(fp, 1, 1) = 'c' THEN 'approved' ELSE 'proposed' END AS status, count(*) AS n FROM ({_AFP}) GROUP BY 1, 2")
 def a6(spark, sf_dir):
-    return G.remediation_summary(_plan(spark, sf_dir)[0])
+    return G.remediation_summary(_plan(spark, sf_dir, "true")[0])
 
 
-@query("a6_remediation_summary_all")
+@query("a6_remediation_summary_all", f"SELECT project_id, CASE WHEN substr(fp, 1, 1) = 'c' THEN 'approved' ELSE 'proposed' END AS status, count(*) AS n FROM ({_AFP}) GROUP BY 1, 2")
 def a6_all(spark, sf_dir):
     return G.remediation_summary(_plan(spark, sf_dir, "true")[0])
 
@@ -740,7 +776,11 @@ def v6(spark, sf_dir):
     return f.groupBy("project_id", "rule_id").agg(F.min(by).alias("x")).select("project_id", "rule_id", "x.file", "x.line", "x.evidence")
 
 
-@query("a8_scan_summary")
+@query("a8_scan_summary", _J2 + f""", now AS (SELECT project_id, CAST(count(*) AS INTEGER) AS findings_count FROM f WHERE seen_at >= TIMESTAMP '1995-06-01' GROUP BY 1),
+ blocked AS (SELECT project_id, count(*) AS n FROM ({_BLOCKED}) WHERE seen_at >= TIMESTAMP '1995-06-01' GROUP BY 1),
+ lists AS (SELECT project_id, count(DISTINCT fingerprint) AS a, count_if(status = 'open' AND first_seen = last_seen) AS b, count_if(status = 'fixed') AS c, count_if(status = 'reappeared') AS d FROM r GROUP BY 1)
+ SELECT now.project_id, 'scan-1' AS scan_id, findings_count, CAST(a AS INTEGER) AS n_fp, CAST(b AS INTEGER) AS n_new, CAST(c AS INTEGER) AS n_fixed, CAST(d AS INTEGER) AS n_reappeared, coalesce(n, 0) = 0 AS policy_pass
+ FROM now LEFT JOIN blocked ON now.project_id = blocked.project_id LEFT JOIN lists ON lists.project_id = now.project_id""")
 def a8(spark, sf_dir):
     new, _, history = _lifecycle(spark, sf_dir)
     verdicts = G.evaluate_policy(new, _policies(new))[1]
@@ -748,17 +788,20 @@ def a8(spark, sf_dir):
     return s.select("project_id", "scan_id", "findings_count", F.size("fingerprints").alias("n_fp"), F.size("new_fingerprints").alias("n_new"), F.size("fixed_fingerprints").alias("n_fixed"), F.size("reappeared_fingerprints").alias("n_reappeared"), "policy_pass")
 
 
-@query("a9_inventory", f"""SELECT project_id, class, rel_path FROM (
+_A9 = f"""SELECT project_id, class, rel_path FROM (
  SELECT project_id, rel_path, 'source' AS class FROM f WHERE suffix IN ({', '.join(repr(s) for s in K.SOURCE_SUFFIXES)})
  UNION ALL SELECT project_id, rel_path, 'configuration' FROM f WHERE lower(name) IN ({', '.join(repr(s) for s in K.CONFIG_NAMES)}) OR starts_with(lower(name), '.env.') OR suffix IN ({', '.join(repr(s) for s in K.CONFIG_SUFFIXES)})
  UNION ALL SELECT project_id, rel_path, 'docker' FROM f WHERE lower(name) = 'dockerfile' OR starts_with(lower(name), 'dockerfile.')
  UNION ALL SELECT project_id, rel_path, 'kubernetes' FROM f WHERE suffix IN ('.yml', '.yaml') AND (list_contains(parts, 'k8s') OR contains(lower(content), 'kind:'))
- UNION ALL SELECT project_id, rel_path, 'actions' FROM f WHERE list_contains(parts, '.github') AND list_contains(parts, 'workflows'))""".replace("SELECT project_id, class, rel_path FROM (", f"WITH f AS (SELECT * FROM ({_PARTS}) WHERE len(list_filter(parts, lambda x: x IN {_IGNORED})) = 0) SELECT project_id, class, rel_path FROM (", 1))
+ UNION ALL SELECT project_id, rel_path, 'actions' FROM f WHERE list_contains(parts, '.github') AND list_contains(parts, 'workflows'))""".replace("SELECT project_id, class, rel_path FROM (", f"WITH f AS (SELECT * FROM ({_PARTS}) WHERE len(list_filter(parts, lambda x: x IN {_IGNORED})) = 0) SELECT project_id, class, rel_path FROM (", 1)
+
+
+@query("a9_inventory", _A9)
 def a9(spark, sf_dir):
     return G.inventory_assets(A.files_table(spark, sf_dir))
 
 
-@query("o2_inventory_lists")
+@query("o2_inventory_lists", f"SELECT project_id, class, list_sort(list(rel_path)) AS paths FROM ({_A9}) GROUP BY 1, 2")
 def o2(spark, sf_dir):
     return G.inventory_lists(G.inventory_assets(A.files_table(spark, sf_dir)))
 
