@@ -121,7 +121,7 @@ def _window_hash(hashes: str, i: Column, width: int) -> Column:
 def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items with their tokens, and their windows: all by plain tokens, those with enough literals by template too.
 
-    ``width`` is that of the window: WIDTH, or the item's length if it is shorter.
+    ``width`` is that of the window: WIDTH, or the item's length if it is shorter; ``typed`` tells a template's hash.
     """
     base = (
         items.where(F.col("item_id").isNotNull() & F.col("text").rlike(r"[^\t\n\x0B\f\r ]"))
@@ -141,7 +141,8 @@ def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = each.withColumn("enough", enough).withColumns({name: F.transform(name, lambda t: F.xxhash64(t)) for name in ("plain", "tokens")})
     by_words, by_template = (_window_hash(c, F.col("item_pos"), WIDTH) for c in ("plain", "tokens"))
     hashes = F.array_distinct(F.when(F.col("enough"), F.array(by_words, by_template)).otherwise(F.array(by_words)))
-    return base.drop("item_plain"), each.select("item_id", "item_pos", "width", F.explode_outer(hashes).alias("hash"))
+    each = each.select("item_id", "item_pos", "width", F.when(F.col("enough"), by_template).alias("typed"), F.explode_outer(hashes).alias("hash"))
+    return base.drop("item_plain"), each.withColumn("typed", F.coalesce(F.col("typed") == F.col("hash"), F.lit(False)))
 
 
 def _slots(wanted: DataFrame, slots: int) -> Column:
@@ -157,8 +158,9 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
     """``doc_id, item_id, n_windows, covered, n_slots, reparameterised`` per document and item found in it.
 
     Every alignment that has windows is judged, alone and together with those up to SHIFT words away; an item's
-    token takes its value from the nearest. The figures are of the accepted judgement with the least shift, then
-    the most windows, then the earliest alignment: covered is the share of the item's tokens under its windows;
+    token takes its value from the nearest. The figures are of the accepted judgement by one alignment's template
+    windows alone, else of that with the least shift, then the most windows, then the earliest alignment: covered is
+    the share of the item's tokens under its windows;
     reparameterised: some slot has another value than in the item. Null or empty texts match nothing; rows that
     repeat an id count as one document, found if one of them is; a row with a null id is found under that null.
     Long texts are taken whole. An item shorter than a window is one window: with ``short_items`` it is found
@@ -176,43 +178,52 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
 
     def windows_of(name: str, width: int) -> Column:
         """Those of the windows whose hash falls where a wanted one does."""
-        each = F.transform(name, lambda _, i: F.struct(i.alias("pos"), _window_hash(name, i, width).alias("hash")))
+        typed = F.lit(name == "tokens").alias("typed")
+        each = F.transform(name, lambda _, i: F.struct(i.alias("pos"), _window_hash(name, i, width).alias("hash"), typed))
         if width < WIDTH and not short_items:
-            each = F.when(F.size(name) == width, each).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+            each = F.when(F.size(name) == width, each).otherwise(F.array().cast("array<struct<pos:int,hash:bigint,typed:boolean>>"))
         whole = F.size(name) - width
         return F.filter(each, lambda w: there(w) & (w["pos"] <= whole))
 
     lists = [windows_of(name, width) for width in [*widths, WIDTH] for name in ("tokens", "plain")]
     # explode would have the optimiser test the array's size before, and for that build all of it once more
     each = tokens.select("doc_id", "row", "words", F.explode_outer(F.concat(*lists)).alias("w"))
+    typed = (F.col("w.typed") & F.col("typed")).alias("typed")
     if small:
         hits = each.join(F.broadcast(wanted), F.col("w.hash") == F.col("hash"))
-        hits = hits.select("doc_id", "row", "item_id", "item_pos", F.col("w.pos").alias("pos"), F.transform(F.slice("words", F.col("w.pos") + 1, F.col("width")), F.lower).alias("vals"))
+        hits = hits.select("doc_id", "row", "item_id", "item_pos", F.col("w.pos").alias("pos"), typed, F.transform(F.slice("words", F.col("w.pos") + 1, F.col("width")), F.lower).alias("vals"))
     else:
-        found = each.select("doc_id", "row", F.col("w.pos").alias("pos"), F.col("w.hash").alias("at")).join(
-            wanted, F.col("at") == F.col("hash")
-        ).select("doc_id", "row", "item_id", "item_pos", "pos", "width")
+        found = each.select("doc_id", "row", "w").join(wanted, F.col("w.hash") == F.col("hash")).select(
+            "doc_id", "row", "item_id", "item_pos", F.col("w.pos").alias("pos"), typed, "width"
+        )
         raws = tokens.select("doc_id", "row", "words").dropDuplicates(["doc_id", "row"]).withColumnsRenamed({"doc_id": "__doc", "row": "__row"})
         hits = found.join(raws, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("row") == F.col("__row"))).select(
-            "doc_id", "row", "item_id", "item_pos", "pos", F.transform(F.slice("words", F.col("pos") + 1, F.col("width")), F.lower).alias("vals")
+            "doc_id", "row", "item_id", "item_pos", "pos", "typed", F.transform(F.slice("words", F.col("pos") + 1, F.col("width")), F.lower).alias("vals")
         )
     # windows of one alignment: no more than the item has
     pair = ["doc_id", "row", "item_id"]
     aligned = hits.groupBy(*pair, (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
-        F.collect_set(F.struct("item_pos", "vals")).alias("found")
+        F.collect_set(F.struct("item_pos", "vals")).alias("found"), F.collect_set(F.when(F.col("typed"), F.col("item_pos"))).alias("typed")
     )
     # windows of all alignments must be able to cover enough
     enough = F.sum(F.size("found")).over(Window.partitionBy(*pair)) * WIDTH >= F.lit(coverage) * F.col("item_len")
     lengths = base.select("item_id", F.size("item_tokens").alias("item_len"))
     aligned = aligned.join(lengths, "item_id").withColumn("enough", enough).where("enough")
     near = aligned.select(
-        *pair, "found", "diagonal", F.explode(F.sequence(F.col("diagonal") - SHIFT, F.col("diagonal") + SHIFT)).alias("centre")
+        *pair, "found", "typed", "diagonal", F.explode(F.sequence(F.col("diagonal") - SHIFT, F.col("diagonal") + SHIFT)).alias("centre")
     )
     around = near.groupBy(*pair, "centre").agg(
-        F.collect_list(F.struct(F.abs(F.col("diagonal") - F.col("centre")).alias("off"), "diagonal", "found")).alias("around")
+        F.collect_list(F.struct(F.abs(F.col("diagonal") - F.col("centre")).alias("off"), "diagonal", "found", "typed")).alias("around")
     ).where(F.exists("around", lambda a: a["off"] == 0))
-    joined = around.withColumn("shift", F.explode(F.array_distinct(F.transform("around", lambda a: a["off"])))).withColumn(
-        "around", F.filter("around", lambda a: a["off"] <= F.col("shift"))
+    # shift -1: the template windows of the alignment itself, without those found by words
+    shifts = F.array_union(F.array(F.lit(-1).cast("bigint")), F.transform("around", lambda a: a["off"].cast("bigint")))
+    by_template = F.transform(
+        F.filter("around", lambda a: a["off"] == 0),
+        lambda a: a.withField("found", F.filter(a["found"], lambda f: F.array_contains(a["typed"], f["item_pos"]))),
+    )
+    within = F.filter("around", lambda a: a["off"] <= F.col("shift"))
+    joined = around.withColumn("shift", F.explode(shifts)).withColumn(
+        "around", F.when(F.col("shift") < 0, by_template).otherwise(within)
     ).join(base, "item_id")
     every = F.flatten(
         F.transform(
