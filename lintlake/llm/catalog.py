@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lintlake.llm import bpe, decontam, embed, kneser, langid, lines, repeats, shingles, toxicity, warc
+from lintlake.llm import bpe, decontam, embed, kneser, langid, lines, packing, repeats, shingles, toxicity, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_kneser_ney_scores": kneser.op8_kneser_ney_scores,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_toxicity_crf": toxicity.op10_toxicity_crf,
+    "op13_first_fit_packing": packing.op13_first_fit_packing,
 }
 ORACLES = {
     "op1_warc_transactions": warc.ORACLE_OP1,
