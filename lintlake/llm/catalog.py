@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lintlake.llm import bpe, decontam, embed, kneser, langid, lines, packing, repeats, shingles, toxicity, trie, warc
+from lintlake.llm import bpe, decontam, embed, kneser, langid, lines, packing, phrases, repeats, shingles, toxicity, trie, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_kneser_ney_scores": kneser.op8_kneser_ney_scores,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_toxicity_crf": toxicity.op10_toxicity_crf,
+    "op11_phrase_mining": phrases.op11_phrase_mining,
     "op12_conversation_trie": trie.op12_conversation_trie,
     "op13_first_fit_packing": packing.op13_first_fit_packing,
 }
@@ -22,5 +23,6 @@ ORACLES = {
     "op1_warc_transactions": warc.ORACLE_OP1,
     "op3_embedding_near_dedup": embed.ORACLE_OP3,
     "op5_benchmark_decontamination": decontam.ORACLE_OP5,
+    "op11_phrase_mining": phrases.ORACLE_OP11,
     "op12_conversation_trie": trie.ORACLE_OP12,
 }
