@@ -9,7 +9,10 @@ one sequence that is not full, at most.
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm.bpe import load
-from lintlake.llm.textnp import SPACE, text_batches, tidied, token_spans
+from lintlake.llm.textnp import LOWER, SPACE, text_batches, tidied
 from lintlake.plans.lineage import bounded_batches, written
 
 CAPACITY = 4096
@@ -27,73 +30,118 @@ END_ID = 2
 #: Rests of a group on average; a group's ids are in one task: GROUP x CAPACITY x 4 bytes (32 MB) if all were full.
 GROUP = 2048
 #: Bytes of text that are looked at together; bytes that the memory of words may hold in a worker.
-TEXT_BYTES, KNOWN_BYTES = 4 << 20, 32 << 20
+TEXT_BYTES, KNOWN_BYTES = 4 << 20, 64 << 20
 ENCODE_BYTES = 1 << 18
 
+#: Kinds of bytes: 1 ASCII letters, 2 marks, 3 white space, 0 all others.
+_KIND = np.where(SPACE, 3, 0).astype(np.uint8)
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[[*b".,;:!?"]] = 2
+
 
 class WordIds:
-    """Token ids of texts by way of their words, the runs between ASCII white space.
+    """Token ids of texts by way of their words.
 
-    Right for tokenizers that drop white space and never look across it, as the one with word ends does: normaliser,
-    splitting pattern and special tokens all stay within such a run. A word is encoded by the library once in a
-    while; its ids are remembered until the words held fill ``KNOWN_BYTES``.
+    A word is a run between ASCII white space, cut once more between an ASCII letter and a mark of ``.,;:!?``; words of
+    ASCII only are lower-cased, unless they may hold a special token. That is right for tokenizers that drop white
+    space, lower-case and split between letters and marks, as the one with word ends does: its normaliser, splitting
+    pattern and special tokens never look across such a place. A word's ids are remembered, in two ages: once one age
+    fills ``KNOWN_BYTES``, only what was used since then is kept.
     """
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.kind = id_kind(self.tokenizer)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.size = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Make sure that the ids of different words are known."""
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words."""
         if self.size > KNOWN_BYTES:
-            self.known, self.size = {}, 0
-        words = [w for w in words if w not in self.known]
+            self.older, self.known, self.size = self.known, {}, 0
+        known, older = self.known, self.older
+        found = [known.get(w) for w in words]
+        new = []
+        for k in [k for k, x in enumerate(found) if x is None]:
+            found[k] = older.get(words[k])
+            if found[k] is None:
+                new.append(k)
+            else:
+                self._keep(words[k], found[k])
         i = 0
-        while i < len(words):
+        while i < len(new):
             j, size = i, 0
-            while j < len(words) and (j == i or size + len(words[j]) <= ENCODE_BYTES):
-                size += len(words[j])
+            while j < len(new) and (j == i or size + len(words[new[j]]) <= ENCODE_BYTES):
+                size += len(words[new[j]])
                 j += 1
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in words[i:j]], add_special_tokens=False)
-            for word, one in zip(words[i:j], found):
-                self.known[word] = np.array(one.ids, self.kind).tobytes()
-                self.size += len(word) + len(self.known[word]) + 120
+            for k, one in zip(new[i:j], self.tokenizer.encode_batch_fast([words[k].decode() for k in new[i:j]], add_special_tokens=False)):
+                found[k] = _narrow(one.ids, self.kind)
+                self._keep(words[k], found[k])
             i = j
+        return found
 
-    def _some(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of consecutive words of ``buf`` in a row, and the number of ids of each."""
-        lengths = ends - starts
-        part = buf[starts[0] : ends[-1]]
-        offsets = np.zeros(len(starts) + 1, np.int32)
-        np.cumsum(lengths, out=offsets[1:])
-        data = part[~SPACE[part]]
-        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        different = words.dictionary.to_pylist()
-        self._learn(different)
-        blobs = [self.known[w] for w in different]
-        flat = np.frombuffer(b"".join(blobs), self.kind)
-        size = np.array([len(b) for b in blobs], np.int64) // flat.itemsize
-        first = np.cumsum(size) - size
-        codes = words.indices.to_numpy()
-        counts = size[codes]
-        at = np.repeat(first[codes] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        return flat[at], counts
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.known[word] = ids
+        self.size += len(word) + len(ids) + 160
 
     def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, and the bounds of the rows (n + 1 values)."""
-        starts, ends, first = token_spans(buf, offsets)
-        ids, counts, i = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)], 0
+        if not len(buf):
+            return np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
+        kind = _KIND[buf]
+        solid = kind < 3
+        start = solid.copy()
+        edge = np.zeros(len(buf) + 1, bool)
+        edge[offsets] = True
+        # letter next to mark: kinds 1 and 2
+        start[1:] &= (kind[1:] + kind[:-1] == 3) & (kind[:-1] > 0) & (kind[1:] > 0) | ~solid[:-1] | edge[1:-1]
+        starts = np.flatnonzero(start)
+        if not len(starts):
+            return np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
+        sizes = np.diff(np.append(np.cumsum(solid)[starts] - 1, np.count_nonzero(solid)))
+        data = buf[solid]
+        first = np.searchsorted(starts, offsets)
+        ids, counts, i = [], [], 0
+        ends = np.cumsum(sizes)
         while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + TEXT_BYTES, "right")))
-            a, b = self._some(buf, starts[i:j], ends[i:j])
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - sizes[i] + TEXT_BYTES, "right")))
+            a, b = self._some(data[ends[i] - sizes[i] : ends[j - 1]], sizes[i:j])
             ids.append(a)
             counts.append(b)
             i = j
         total = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         return np.concatenate(ids), total[first]
 
+    def _some(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that lie in ``data`` one after the other, and the number of ids of each."""
+        bounds = np.zeros(len(sizes) + 1, np.int32)
+        np.cumsum(sizes, out=bounds[1:])
+        plain = np.logical_and.reduceat((data < 128) & (data != 124), bounds[:-1])
+        data = np.where(np.repeat(plain, sizes), LOWER[data], data)
+        words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        blobs = self._ids(words.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(blobs), self.kind)
+        size = np.array([len(b) for b in blobs], np.int64) // flat.itemsize
+        first = np.cumsum(size) - size
+        codes = words.indices.to_numpy()
+        counts = size[codes]
+        at = np.repeat(first[codes] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        return flat[at], counts
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One memory of words in a worker, for all its tasks."""
+    return WordIds(path)
+
+
+def _narrow(ids: list[int], kind: str) -> bytes:
+    packed = array("H" if kind == "<u2" else "I", ids)
+    if sys.byteorder != "little" or packed.itemsize != int(kind[2]):
+        return np.array(ids, kind).tobytes()
+    return packed.tobytes()
+
 
 def id_kind(tokenizer) -> str:
     return "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
@@ -169,7 +217,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task, made = WordIds(tokenizer_path), TaskContext.get().partitionId() << 36, 0
+        words, task, made = word_ids(tokenizer_path), TaskContext.get().partitionId() << 36, 0
         last = np.array([end_id], words.kind).tobytes()
         for part, buf, offsets in text_batches(batches, "text", TEXT_BYTES):
             flat, bounds = words(buf, offsets)
