@@ -368,7 +368,35 @@ def d12(spark, sf_dir):
 # -- merging -----------------------------------------------------------------------------------------------------
 
 
-@query("j8_deduplicate")
+_MASK = """CAST((CASE WHEN regexp_matches(lower(rule_id || ' ' || title), 'command|exec') THEN 1 ELSE 0 END) + (CASE WHEN regexp_matches(lower(rule_id || ' ' || title), 'sql|query') THEN 2 ELSE 0 END)
+ + (CASE WHEN regexp_matches(lower(rule_id || ' ' || title), 'xss|html') THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(lower(rule_id || ' ' || title), 'path|traversal') THEN 8 ELSE 0 END) AS INTEGER)"""
+
+#: The greedy loop, one finding of each (project, file, cwe) a step; ``kept`` is what stands, in order.
+_J8 = f"""
+WITH RECURSIVE m AS MATERIALIZED (
+  SELECT *, {_MASK} AS mask, CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS sure FROM ({A.FINDINGS})
+), a AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY project_id, file, cwe ORDER BY {', '.join(ORDER)}, sure) AS i FROM m WHERE mask <> 0
+), fold(project_id, file, cwe, i, kept) AS (
+  SELECT project_id, file, cwe, 0::BIGINT, [{{'k': '', 'mask': 0, 'line': 0, 'sure': 0, 'i': 0::BIGINT}}][2:] FROM (SELECT DISTINCT project_id, file, cwe FROM a)
+  UNION ALL
+  SELECT f.project_id, f.file, f.cwe, x.i,
+    CASE WHEN len(list_filter(f.kept, lambda y: y.k = concat(x.rule_id, '|', x.line, '|', x.evidence))) > 0 THEN f.kept
+         WHEN len(list_filter(f.kept, lambda y: y.mask & x.mask <> 0 AND abs(y.line - x.line) <= 1)) = 0
+           THEN list_append(f.kept, {{'k': concat(x.rule_id, '|', x.line, '|', x.evidence), 'mask': x.mask, 'line': x.line, 'sure': x.sure, 'i': x.i}})
+         ELSE list_transform(f.kept, lambda y, n: CASE WHEN y.sure < x.sure AND n = list_position(list_transform(f.kept, lambda z: z.mask & x.mask <> 0 AND abs(z.line - x.line) <= 1), true)
+           THEN {{'k': y.k, 'mask': x.mask, 'line': x.line, 'sure': x.sure, 'i': x.i}} ELSE y END) END
+  FROM fold f JOIN a x ON x.project_id = f.project_id AND x.file = f.file AND x.cwe = f.cwe AND x.i = f.i + 1
+), last AS (
+  SELECT project_id, file, cwe, unnest(arg_max(kept, i)) AS y FROM fold GROUP BY 1, 2, 3
+)
+SELECT a.project_id, a.rule_id, a.file, a.line, a.confidence, a.evidence FROM last l JOIN a ON a.project_id = l.project_id AND a.file = l.file AND a.cwe = l.cwe AND a.i = l.y.i
+UNION ALL
+SELECT project_id, rule_id, file, line, arg_min(confidence, [CAST(engine_rank AS INT), CAST(rule_rank AS INT)]), evidence FROM m WHERE mask = 0 GROUP BY project_id, rule_id, file, line, evidence
+"""
+
+
+@query("j8_deduplicate", _J8)
 def j8(spark, sf_dir):
     return deduplicate(findings(spark, sf_dir).select(*F_COLS), ORDER).select("project_id", "rule_id", "file", "line", "confidence", "evidence")
 
@@ -379,35 +407,54 @@ def u3(spark, sf_dir):
     return deduplicate(f, ORDER).select("project_id", "rule_id", "file", "line", "evidence")
 
 
-#: Projects of some tens of files: a project of the table by a range of orders. One file in ten is a configuration file.
-_J9_INPUT = f"""SELECT concat(project_id, '-', CAST(CAST(floor(CAST(n AS INT) / 1000) AS INT) AS STRING)) AS project_id, engine_rank, rule_rank, rule_id, title, severity, confidence, cwe, cve, cvss,
- CASE WHEN right(n, 1) = '7' THEN concat('deploy/compose-', n, '.yml') ELSE file END AS file, line, evidence, remediation, status
+#: A folder for each rule; only the first rules say something of sources and sinks. Every fifth project has configuration
+#: files, whose findings join all with evidence; the others have a group for each family that nothing joins.
+_J9_INPUT = f"""SELECT project_id, engine_rank, rule_rank, rule_id, title, severity, confidence, cwe, cve, cvss,
+ CASE WHEN n LIKE '%7' AND CAST(replace(project_id, 'p', '') AS INT) % 5 = 0 THEN concat('deploy/compose-', n, '.yml') ELSE concat('src/m', CAST(rule_rank AS VARCHAR(9)), '/f', n, '.py') END AS file, line,
+ CASE WHEN rule_rank < 3 THEN evidence ELSE replace(replace(evidence, ' token = "abc" request', ''), ' exec', '') END AS evidence, remediation, status
  FROM (SELECT *, replace(replace(file, 'src/f', ''), '.py', '') AS n FROM ({A.FINDINGS}) x) y"""
 
-
+#: Families that are linked, by pairs of what their findings say; components by reaching; reasons by such pairs again.
 _J9 = f"""
-WITH RECURSIVE f AS (SELECT *, string_split(lower(rule_id), '-')[1] AS family, CAST(regexp_matches(evidence, {_re(K.SOURCE_TERMS)}) AS INT) AS s, CAST(regexp_matches(evidence, {_re(K.SINK_TERMS)}) AS INT) AS t,
-      CAST(regexp_matches(file, {_re(K.CONFIG_FILES)}) AS INT) AS c, row_number() OVER (PARTITION BY project_id ORDER BY {', '.join(ORDER)}) AS ord,
-      list_position(['INFO','LOW','MEDIUM','HIGH','CRITICAL'], upper(severity)) AS rank FROM ({_J9_INPUT.replace('AS STRING', 'AS VARCHAR')})),
-n AS (SELECT *, row_number() OVER () AS id FROM (SELECT project_id, file, family, s, t, c, count(*) AS k FROM f GROUP BY ALL)),
-l AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.file = b.file THEN '{correlate.SHARED_FILE}' WHEN a.family = b.family THEN '{correlate.SHARED_FAMILY}'
-      WHEN (a.s = 1 AND b.t = 1) OR (b.s = 1 AND a.t = 1) THEN '{correlate.SOURCE_SINK}' WHEN a.c = 1 OR b.c = 1 THEN '{correlate.CONFIG_CODE}' END AS kind
-      FROM n a JOIN n b ON a.project_id = b.project_id AND (a.id <> b.id OR a.k > 1)),
-links AS (SELECT DISTINCT a, b, kind FROM l WHERE kind IS NOT NULL),
-reach(id, m) AS (SELECT id, id FROM n UNION SELECT r.id, links.b FROM reach r JOIN links ON r.m = links.a),
-comp AS (SELECT id, min(m) AS component FROM reach GROUP BY id),
-kinds AS (SELECT component, list_sort(list(DISTINCT kind)) AS kinds FROM links JOIN comp ON comp.id = links.a GROUP BY 1)
+WITH RECURSIVE f AS MATERIALIZED (SELECT *, string_split(lower(rule_id), '-')[1] AS family, CAST(regexp_matches(evidence, {_re(K.SOURCE_TERMS)}) AS INT) AS s, CAST(regexp_matches(evidence, {_re(K.SINK_TERMS)}) AS INT) AS t,
+      CAST(regexp_matches(file, {_re(K.CONFIG_FILES)}) AS INT) AS c, CAST(trim(evidence) <> '' AS INT) AS e, row_number() OVER (PARTITION BY project_id ORDER BY {', '.join(ORDER)}) AS ord,
+      list_position(['INFO','LOW','MEDIUM','HIGH','CRITICAL'], upper(severity)) AS rank FROM ({_J9_INPUT})),
+g AS MATERIALIZED (SELECT project_id, family, s, t, c, e, count(DISTINCT file) AS nf, min(file) AS mf FROM f GROUP BY 1, 2, 3, 4, 5, 6),
+w AS (SELECT DISTINCT project_id, file, family FROM f),
+l AS MATERIALIZED (SELECT DISTINCT a.project_id, a.family AS x, b.family AS y FROM w a JOIN w b ON a.project_id = b.project_id AND a.file = b.file
+  UNION SELECT a.project_id, a.family, b.family FROM g a JOIN g b ON a.project_id = b.project_id
+  WHERE (a.s = 1 AND b.t = 1) OR (b.s = 1 AND a.t = 1) OR ((a.c = 1 OR b.c = 1) AND a.e = 1 AND b.e = 1)),
+reach(project_id, x, y) AS (SELECT project_id, family, family FROM g UNION SELECT r.project_id, r.x, l.y FROM reach r JOIN l ON l.project_id = r.project_id AND l.x = r.y),
+comp AS (SELECT project_id, x AS family, min(y) AS comp FROM reach GROUP BY 1, 2),
+pairs AS (SELECT c.project_id, c.comp, (a.s = 1 AND b.t = 1) OR (b.s = 1 AND a.t = 1) AS st, (a.c = 1 OR b.c = 1) AND a.e = 1 AND b.e = 1 AS cfg
+  FROM g a JOIN g b ON a.project_id = b.project_id AND a.family <> b.family AND NOT (a.nf = 1 AND b.nf = 1 AND a.mf = b.mf)
+  JOIN comp c ON c.project_id = a.project_id AND c.family = a.family JOIN comp d ON d.project_id = b.project_id AND d.family = b.family AND d.comp = c.comp),
+kinds AS (SELECT project_id, comp, list_sort(list(DISTINCT kind)) AS kinds FROM (
+  SELECT c.project_id, c.comp, '{correlate.SHARED_FILE}' AS kind FROM f JOIN comp c ON c.project_id = f.project_id AND c.family = f.family GROUP BY 1, 2, f.file HAVING count(*) > 1
+  UNION ALL SELECT c.project_id, c.comp, '{correlate.SHARED_FAMILY}' FROM f JOIN comp c ON c.project_id = f.project_id AND c.family = f.family GROUP BY 1, 2, f.family HAVING count(DISTINCT file) > 1
+  UNION ALL SELECT project_id, comp, '{correlate.SOURCE_SINK}' FROM pairs WHERE st
+  UNION ALL SELECT project_id, comp, '{correlate.CONFIG_CODE}' FROM pairs WHERE cfg AND NOT st) GROUP BY 1, 2)
 SELECT f.project_id, concat('risk-', substr(sha256(arg_min(concat(rule_id, '|', f.file, '|', CAST(line AS VARCHAR), '|', evidence), ord)), 1, 16)) AS group_id,
- arg_min(severity, (10 - rank) * 1000000 + ord) AS severity, CASE WHEN bool_and(lower(confidence) = 'high') THEN 'high' ELSE 'medium' END AS confidence, CAST(count(*) AS INTEGER) AS n, array_to_string(any_value(kinds), '; ') AS rationale
-FROM f JOIN n ON f.project_id = n.project_id AND f.file = n.file AND f.family = n.family AND f.s = n.s AND f.t = n.t AND f.c = n.c JOIN comp ON comp.id = n.id JOIN kinds ON kinds.component = comp.component
-GROUP BY f.project_id, comp.component HAVING count(*) > 1
+ arg_min(severity, (10 - rank) * 1000000 + ord) AS severity, CASE WHEN bool_and(lower(confidence) = 'high') THEN 'high' ELSE 'medium' END AS confidence, count(*) AS n, array_to_string(any_value(kinds), '; ') AS rationale
+FROM f JOIN comp ON comp.project_id = f.project_id AND comp.family = f.family JOIN kinds ON kinds.project_id = comp.project_id AND kinds.comp = comp.comp
+GROUP BY f.project_id, comp.comp HAVING count(*) > 1
 """
 
 
 @query("j9_correlate", _J9)
 def j9(spark, sf_dir):
-    f = A.sql(spark, sf_dir, _J9_INPUT).select(*F_COLS)
-    return correlate.correlate_findings(f, ORDER).select("project_id", "group_id", "severity", "confidence", F.size("finding_references").alias("n"), "rationale")
+    groups, _ = correlate.correlate(A.sql(spark, sf_dir, _J9_INPUT).select(*F_COLS), ORDER)
+    return groups.select("project_id", "group_id", "severity", "confidence", F.col("n_findings").alias("n"), "rationale")
+
+
+#: Members by their fingerprint: how many groups there are in a project, and which members are in which.
+@query("j9_members", _J9.split("kinds AS (")[0].rsplit("pairs AS (", 1)[0].rstrip().rstrip(",") + f"""
+SELECT f.project_id, concat('risk-', first_value(fp) OVER (PARTITION BY f.project_id, comp.comp ORDER BY ord)) AS group_id, fp AS fingerprint, f.rule_id, f.file, f.line
+FROM (SELECT *, substr(sha256(concat(rule_id, '|', file, '|', CAST(line AS VARCHAR), '|', evidence)), 1, 16) AS fp FROM f) f JOIN comp ON comp.project_id = f.project_id AND comp.family = f.family
+QUALIFY count(*) OVER (PARTITION BY f.project_id, comp.comp) > 1""")
+def j9_members(spark, sf_dir):
+    _, members = correlate.correlate(A.sql(spark, sf_dir, _J9_INPUT).select(*F_COLS), ORDER)
+    return members.select("project_id", "group_id", "fingerprint", "rule_id", "file", "line")
 
 
 # -- lifecycle, workflow -----------------------------------------------------------------------------------------
