@@ -45,24 +45,92 @@ def update_lifecycle(findings: DataFrame, history: DataFrame, now: Column, order
     )
 
 
-def replay_lifecycle(scans: DataFrame) -> DataFrame:
-    """State of every fingerprint after each of its project's scans, from ``(project_id, scan_no, fingerprint)``.
+def apply_scans(findings: DataFrame, history: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """History after all scans in ``findings``, told by ``scanned_at``: what ``update_lifecycle`` gives scan after scan.
+
+    No scan is gone through by itself: where a record ends up follows from how often, when first and last, and in
+    which of the project's first, last and last but one scan it was found. Projects without a finding here stay as they are.
+    """
+    order = order or ["engine_rank", "file", "line", "rule_rank"]
+    fields = ["rule_id", "file", "line", "title", "severity"]
+    found = with_fingerprint(findings).groupBy("project_id", "scanned_at", "fingerprint").agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("new"))
+    rank = Window.partitionBy("project_id").orderBy(F.col("scanned_at").desc())
+    scans = findings.select("project_id", "scanned_at").distinct().withColumn("k", F.row_number().over(rank))
+    ends = scans.groupBy("project_id").agg(
+        F.min("scanned_at").alias("first_scan"), F.max("scanned_at").alias("last_scan"), F.max(F.when(F.col("k") == 2, F.col("scanned_at"))).alias("before_scan")
+    )
+    at = F.col("scanned_at")
+    each = found.join(ends, "project_id").groupBy("project_id", "fingerprint").agg(
+        F.max_by("new", at).alias("new"), F.count("*").alias("n"), F.min(at).alias("found_first"), F.max(at).alias("found_last"),
+        F.bool_or(F.coalesce(at == F.col("before_scan"), F.lit(False))).alias("in_before"),
+    )
+    old = history.withColumn("old", F.struct(*[c for c in history.columns if c not in ("project_id", "fingerprint")])).select("project_id", "fingerprint", "old")
+    both = each.join(old, ["project_id", "fingerprint"], "full_outer").join(ends, "project_id", "left")
+    untouched, here = F.col("last_scan").isNull(), F.col("new").isNotNull()
+    # an accepted risk that the first scan does not find is dropped, and is new if a later one does
+    dropped = ~untouched & (F.coalesce(F.col("old.status"), F.lit("")) == "accepted-risk") & ~F.coalesce(F.col("found_first") == F.col("first_scan"), F.lit(False))
+    both = both.where(here | ~dropped).withColumn("old", F.when(~dropped, F.col("old")))
+    known = F.col("old").isNotNull()
+    in_last = F.coalesce(F.col("found_last") == F.col("last_scan"), F.lit(False))
+    one_scan = F.col("before_scan").isNull()
+    in_before = F.when(one_scan, known & (F.coalesce(F.col("old.status"), F.lit("")) != "fixed")).otherwise(F.col("in_before"))
+    earlier = known | (F.col("found_first") < F.col("last_scan"))
+    status = F.when(untouched, F.col("old.status")).when(~in_last, "fixed").when(~F.coalesce(in_before, F.lit(False)) & earlier, "reappeared").otherwise("open")
+    return both.select(
+        "project_id", "fingerprint",
+        *[F.when(here, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in fields],
+        F.coalesce("old.first_seen", "found_first").alias("first_seen"), F.coalesce("found_last", "old.last_seen").alias("last_seen"),
+        (F.coalesce("old.times_seen", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("int").alias("times_seen"), status.alias("status"),
+    )
+
+
+def _numbered_scans(scans: DataFrame) -> DataFrame:
+    """``project_id, scan_no, k``: the scans of each project, from 1."""
+    return scans.select("project_id", "scan_no").distinct().withColumn("k", F.row_number().over(Window.partitionBy("project_id").orderBy("scan_no")))
+
+
+def lifecycle_changes(scans: DataFrame) -> DataFrame:
+    """Each fingerprint's states as runs of scans, from ``(project_id, scan_no, fingerprint)``: rows grow with changes, not scans.
 
-    Scan numbers of a project need not be dense. The grid of a fingerprint starts at its first scan.
+    ``project_id, fingerprint, first_seen, status, from_k, to_k, from_scan, to_scan, times_seen, last_seen``: the state holds
+    from one scan of the project to another (by number from 1, and by ``scan_no``); ``times_seen`` is that at its first
+    scan and rises by one a scan while found; ``last_seen`` is null while found. Scan numbers need not be dense, repeated
+    rows count once, and a null fingerprint is one like others.
     """
-    seen = scans.select("project_id", "scan_no", "fingerprint").distinct()
-    first = seen.groupBy("project_id", "fingerprint").agg(F.min("scan_no").alias("first_seen"))
-    every = scans.select("project_id", "scan_no").distinct()
-    grid = first.join(every, "project_id").where("scan_no >= first_seen")
-    grid = grid.join(seen.withColumn("present", F.lit(1)), ["project_id", "scan_no", "fingerprint"], "left")
-    grid = grid.withColumn("present", F.coalesce("present", F.lit(0)))
-    w = Window.partitionBy("project_id", "fingerprint").orderBy("scan_no")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return grid.select(
-        "project_id", "scan_no", "fingerprint", "first_seen",
-        F.max(F.when(F.col("present") == 1, F.col("scan_no"))).over(upto).alias("last_seen"),
-        F.sum("present").over(upto).alias("times_seen"),
-        F.when(F.col("present") == 0, "fixed").when(F.lag("present").over(w) == 0, "reappeared").otherwise("open").alias("status"),
+    every = _numbered_scans(scans)
+    seen = scans.select("project_id", "scan_no", "fingerprint").distinct().join(every, ["project_id", "scan_no"])
+    one = Window.partitionBy("project_id", "fingerprint").orderBy("k")
+    starts = F.coalesce((F.col("k") - F.lag("k").over(one) > 1).cast("int"), F.lit(0))
+    runs = seen.withColumn("start", starts).withColumn("run", F.sum("start").over(one)).groupBy("project_id", "fingerprint", "run").agg(
+        F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("n"), F.min("scan_no").alias("scan_a"), F.max("scan_no").alias("scan_b")
+    )
+    by_run = Window.partitionBy("project_id", "fingerprint").orderBy("run")
+    ends = every.groupBy("project_id").agg(F.max("k").alias("end"))
+    runs = runs.withColumns({
+        "before": F.sum("n").over(by_run) - F.col("n"), "next": F.lead("a").over(by_run),
+        "first_seen": F.min("scan_a").over(by_run),
+    }).join(ends, "project_id")
+    row = lambda status, a, b, times, last: F.struct(F.lit(status).alias("status"), a.cast("int").alias("from_k"), b.cast("int").alias("to_k"), times.alias("times_seen"), last.alias("last_seen"))
+    c, none = F.col, F.lit(None).cast(scans.schema["scan_no"].dataType)
+    first, gone = c("run") == 0, F.coalesce(c("next") - 1, c("end"))
+    states = F.array_compact(F.array(
+        F.when(~first, row("reappeared", c("a"), c("a"), c("before") + 1, none)),
+        F.when(first | (c("b") > c("a")), row("open", F.when(first, c("a")).otherwise(c("a") + 1), c("b"), F.when(first, F.lit(1)).otherwise(c("before") + 2), none)),
+        F.when(gone > c("b"), row("fixed", c("b") + 1, gone, c("before") + c("n"), c("scan_b"))),
+    ))
+    told = runs.select("project_id", "fingerprint", "first_seen", F.explode(states).alias("s")).select("project_id", "fingerprint", "first_seen", "s.*")
+    for name in ("from", "to"):
+        told = told.join(every.select("project_id", F.col("k").alias(f"{name}_k"), F.col("scan_no").alias(f"{name}_scan")), ["project_id", f"{name}_k"])
+    return told.select("project_id", "fingerprint", "first_seen", "status", "from_k", "to_k", "from_scan", "to_scan", "times_seen", "last_seen")
+
+
+def replay_lifecycle(scans: DataFrame) -> DataFrame:
+    """State of every fingerprint after each of its project's scans, from its first on: ``lifecycle_changes`` written out."""
+    each = lifecycle_changes(scans).withColumn("k", F.explode(F.sequence("from_k", "to_k"))).join(_numbered_scans(scans), ["project_id", "k"])
+    found = F.col("last_seen").isNull()
+    return each.select(
+        "project_id", "scan_no", "fingerprint", "first_seen", F.when(found, F.col("scan_no")).otherwise(F.col("last_seen")).alias("last_seen"),
+        (F.col("times_seen") + F.when(found, F.col("k") - F.col("from_k")).otherwise(0)).cast("long").alias("times_seen"), "status",
     )
 
 

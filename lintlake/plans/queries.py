@@ -556,6 +556,14 @@ def v5(spark, sf_dir):
     return G.replay_lifecycle(A.sql(spark, sf_dir, A.SCANS))
 
 
+@query("v5_lifecycle_changes", _V5 + """, n AS (SELECT *, row_number() OVER (PARTITION BY project_id, fingerprint ORDER BY scan_no) - row_number() OVER (PARTITION BY project_id, fingerprint, status ORDER BY scan_no) AS run FROM r)
+ SELECT project_id, fingerprint, status, min(first_seen) AS first_seen, min(scan_no) AS from_scan, max(scan_no) AS to_scan, min(times_seen) AS times_seen, CASE WHEN status = 'fixed' THEN max(last_seen) END AS last_seen
+ FROM n GROUP BY project_id, fingerprint, status, run""")
+def v5_changes(spark, sf_dir):
+    changes = G.lifecycle_changes(A.sql(spark, sf_dir, A.SCANS))
+    return changes.select("project_id", "fingerprint", "status", "first_seen", "from_scan", "to_scan", F.col("times_seen").cast("long").alias("times_seen"), "last_seen")
+
+
 def _lifecycle(spark, sf_dir):
     """History after two scans: findings before 1995-06 and those after."""
     f = findings(spark, sf_dir)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lintlake.operators import governance
@@ -45,18 +44,15 @@ WORKFLOW = (
 
 
 def lifecycle_stream(findings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Lifecycle history kept from findings with ``scanned_at``; a batch may hold several scans, applied in order."""
+    """Lifecycle history kept from findings with ``scanned_at``; a batch may hold several scans, applied in their order.
+
+    The scans of a batch are applied together, by ``apply_scans``. Batches count as they arrive: a scan that comes in a later
+    batch counts as later, whatever its time.
+    """
     spark = findings.sparkSession
 
     def step(history: DataFrame, batch: DataFrame) -> DataFrame:
-        times = [r[0] for r in batch.select("scanned_at").distinct().orderBy("scanned_at").collect()]  # scans, not findings
-        for at in times:
-            part = batch.where(F.col("scanned_at") == F.lit(at))
-            here = part.select("project_id").distinct()
-            touched = history.join(here, "project_id", "left_semi")
-            rest = history.join(here, "project_id", "left_anti")
-            history = rest.unionByName(governance.update_lifecycle(part, touched, F.lit(at)).select(*history.columns))
-        return history
+        return governance.apply_scans(batch, history).select(*history.columns)
 
     return _state_stream(findings, path, checkpoint, step, spark.createDataFrame([], HISTORY))
 
