@@ -53,10 +53,57 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.sql(spark, sf_dir, A.FINDINGS)
 
 
+# -- merging, said in SQL ---------------------------------------------------------------------------------------
+
+_MASK = """CAST((CASE WHEN regexp_matches(lower(rule_id || ' ' || title), 'command|exec') THEN 1 ELSE 0 END) + (CASE WHEN regexp_matches(lower(rule_id || ' ' || title), 'sql|query') THEN 2 ELSE 0 END)
+ + (CASE WHEN regexp_matches(lower(rule_id || ' ' || title), 'xss|html') THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(lower(rule_id || ' ' || title), 'path|traversal') THEN 8 ELSE 0 END) AS INTEGER)"""
+
+
+#: The greedy loop, one finding of each (project, file, cwe) a step; ``kept`` is what stands, in order.
+def _standing(source: str) -> str:
+    return f"""
+WITH RECURSIVE m AS MATERIALIZED (
+  SELECT *, {_MASK} AS mask, CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS sure FROM ({source})
+), a AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY project_id, file, cwe ORDER BY {', '.join(ORDER)}, sure) AS i FROM m WHERE mask <> 0
+), fold(project_id, file, cwe, i, kept) AS (
+  SELECT project_id, file, cwe, 0::BIGINT, [{{'k': '', 'mask': 0, 'line': 0, 'sure': 0, 'i': 0::BIGINT}}][2:] FROM (SELECT DISTINCT project_id, file, cwe FROM a)
+  UNION ALL
+  SELECT f.project_id, f.file, f.cwe, x.i,
+    CASE WHEN len(list_filter(f.kept, lambda y: y.k = concat(x.rule_id, '|', x.line, '|', x.evidence))) > 0 THEN f.kept
+         WHEN len(list_filter(f.kept, lambda y: y.mask & x.mask <> 0 AND abs(y.line - x.line) <= 1)) = 0
+           THEN list_append(f.kept, {{'k': concat(x.rule_id, '|', x.line, '|', x.evidence), 'mask': x.mask, 'line': x.line, 'sure': x.sure, 'i': x.i}})
+         ELSE list_transform(f.kept, lambda y, n: CASE WHEN y.sure < x.sure AND n = list_position(list_transform(f.kept, lambda z: z.mask & x.mask <> 0 AND abs(z.line - x.line) <= 1), true)
+           THEN {{'k': y.k, 'mask': x.mask, 'line': x.line, 'sure': x.sure, 'i': x.i}} ELSE y END) END
+  FROM fold f JOIN a x ON x.project_id = f.project_id AND x.file = f.file AND x.cwe = f.cwe AND x.i = f.i + 1
+), last AS (
+  SELECT project_id, file, cwe, unnest(arg_max(kept, i)) AS y FROM fold GROUP BY 1, 2, 3
+), standing AS (
+  SELECT a.project_id, a.rule_id, a.severity, a.file, a.line, a.confidence, a.evidence FROM last l JOIN a ON a.project_id = l.project_id AND a.file = l.file AND a.cwe = l.cwe AND a.i = l.y.i
+  UNION ALL
+  SELECT project_id, rule_id, arg_min(severity, first), file, line, arg_min(confidence, first), evidence
+  FROM (SELECT *, [CAST(engine_rank AS INT), CAST(rule_rank AS INT)] AS first FROM m WHERE mask = 0) GROUP BY project_id, rule_id, file, line, evidence
+)
+"""
+
+
 # -- flagship: lines -> rules -> merge -> gate -------------------------------------------------------------------
 
 
-@query("scan_gate")
+_LINE_FINDINGS = " UNION ALL ".join(
+    f"SELECT project_id, rel_path AS file, line, 0 AS engine_rank, {i} AS rule_rank, '{r[0]}' AS rule_id, '{r[1]}' AS title, '{r[2]}' AS severity, '{r[3]}' AS cwe, 'medium' AS confidence, left(trim(text), 300) AS evidence"
+    f" FROM ({A.CODE_LINES}) WHERE regexp_matches(text, {_re(r[4])})"
+    for i, r in enumerate(K.LINE_RULES)
+)
+_POINTS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.SEVERITY_POINTS.items())
+_GATE = _standing(_LINE_FINDINGS) + f"""
+SELECT p.project_id, coalesce(blocked, 0) = 0 AS passed, coalesce(blocked, 0)::BIGINT AS n_blocked, n_findings, total_score FROM (SELECT DISTINCT project_id FROM ({A.CODE_LINES})) p LEFT JOIN (
+  SELECT project_id, count_if(severity IN ('CRITICAL', 'HIGH') AND rule_id <> 'debug') AS blocked, count(*) AS n_findings,
+    round(sum(CASE severity {_POINTS} ELSE 0 END * {K.CONFIDENCE_WEIGHTS['MEDIUM']}::DOUBLE), 2) AS total_score FROM standing GROUP BY 1) USING (project_id)
+"""
+
+
+@query("scan_gate", _GATE)
 def scan_gate(spark, sf_dir):
     """Lines of code to findings, merged, scored and gated: one verdict for each project."""
     lines = A.sql(spark, sf_dir, A.CODE_LINES)
@@ -368,35 +415,7 @@ def d12(spark, sf_dir):
 # -- merging -----------------------------------------------------------------------------------------------------
 
 
-_MASK = """CAST((CASE WHEN regexp_matches(lower(rule_id || ' ' || title), 'command|exec') THEN 1 ELSE 0 END) + (CASE WHEN regexp_matches(lower(rule_id || ' ' || title), 'sql|query') THEN 2 ELSE 0 END)
- + (CASE WHEN regexp_matches(lower(rule_id || ' ' || title), 'xss|html') THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(lower(rule_id || ' ' || title), 'path|traversal') THEN 8 ELSE 0 END) AS INTEGER)"""
-
-#: The greedy loop, one finding of each (project, file, cwe) a step; ``kept`` is what stands, in order.
-_J8 = f"""
-WITH RECURSIVE m AS MATERIALIZED (
-  SELECT *, {_MASK} AS mask, CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS sure FROM ({A.FINDINGS})
-), a AS MATERIALIZED (
-  SELECT *, row_number() OVER (PARTITION BY project_id, file, cwe ORDER BY {', '.join(ORDER)}, sure) AS i FROM m WHERE mask <> 0
-), fold(project_id, file, cwe, i, kept) AS (
-  SELECT project_id, file, cwe, 0::BIGINT, [{{'k': '', 'mask': 0, 'line': 0, 'sure': 0, 'i': 0::BIGINT}}][2:] FROM (SELECT DISTINCT project_id, file, cwe FROM a)
-  UNION ALL
-  SELECT f.project_id, f.file, f.cwe, x.i,
-    CASE WHEN len(list_filter(f.kept, lambda y: y.k = concat(x.rule_id, '|', x.line, '|', x.evidence))) > 0 THEN f.kept
-         WHEN len(list_filter(f.kept, lambda y: y.mask & x.mask <> 0 AND abs(y.line - x.line) <= 1)) = 0
-           THEN list_append(f.kept, {{'k': concat(x.rule_id, '|', x.line, '|', x.evidence), 'mask': x.mask, 'line': x.line, 'sure': x.sure, 'i': x.i}})
-         ELSE list_transform(f.kept, lambda y, n: CASE WHEN y.sure < x.sure AND n = list_position(list_transform(f.kept, lambda z: z.mask & x.mask <> 0 AND abs(z.line - x.line) <= 1), true)
-           THEN {{'k': y.k, 'mask': x.mask, 'line': x.line, 'sure': x.sure, 'i': x.i}} ELSE y END) END
-  FROM fold f JOIN a x ON x.project_id = f.project_id AND x.file = f.file AND x.cwe = f.cwe AND x.i = f.i + 1
-), last AS (
-  SELECT project_id, file, cwe, unnest(arg_max(kept, i)) AS y FROM fold GROUP BY 1, 2, 3
-)
-SELECT a.project_id, a.rule_id, a.file, a.line, a.confidence, a.evidence FROM last l JOIN a ON a.project_id = l.project_id AND a.file = l.file AND a.cwe = l.cwe AND a.i = l.y.i
-UNION ALL
-SELECT project_id, rule_id, file, line, arg_min(confidence, [CAST(engine_rank AS INT), CAST(rule_rank AS INT)]), evidence FROM m WHERE mask = 0 GROUP BY project_id, rule_id, file, line, evidence
-"""
-
-
-@query("j8_deduplicate", _J8)
+@query("j8_deduplicate", _standing(A.FINDINGS) + "SELECT project_id, rule_id, file, line, confidence, evidence FROM standing")
 def j8(spark, sf_dir):
     return deduplicate(findings(spark, sf_dir).select(*F_COLS), ORDER).select("project_id", "rule_id", "file", "line", "confidence", "evidence")
 
@@ -607,7 +626,17 @@ def a7_all(spark, sf_dir):
     return G.lifecycle_counts(_lifecycle(spark, sf_dir)[2])
 
 
-@query("j4_attach_fingerprint")
+#: A record's place is that of the last finding of the last scan that had it; of records in one place the last seen counts.
+_J4 = _J2 + """, place AS (SELECT project_id, fp, rule_id, file, line FROM f
+  QUALIFY row_number() OVER (PARTITION BY project_id, fp ORDER BY seen_at >= TIMESTAMP '1995-06-01' DESC, engine_rank DESC, file DESC, line DESC, rule_rank DESC) = 1),
+k AS (SELECT p.project_id, p.rule_id, p.file, p.line, arg_max(p.fp, concat(CAST(r.last_seen AS VARCHAR), p.fp)) AS fp
+  FROM place p JOIN r ON r.project_id = p.project_id AND r.fingerprint = p.fp GROUP BY 1, 2, 3, 4)
+SELECT f.project_id, f.rule_id, f.file, f.line, f.evidence, coalesce(k.fp, '') AS fingerprint
+FROM f LEFT JOIN k ON k.project_id = f.project_id AND k.rule_id = f.rule_id AND k.file = f.file AND k.line = f.line WHERE f.seen_at >= TIMESTAMP '1995-06-01'
+"""
+
+
+@query("j4_attach_fingerprint", _J4)
 def j4(spark, sf_dir):
     new, _, history = _lifecycle(spark, sf_dir)
     return G.attach_fingerprint(new, history).select("project_id", "rule_id", "file", "line", "evidence", "fingerprint")
