@@ -11,7 +11,7 @@ from lintlake.functions import catalog as K
 from lintlake.functions import scalars as S
 from lintlake.operators import correlate, dependencies, detect, flows, governance as G
 from lintlake.operators.findings import deduplicate
-from lintlake.operators.scan import ORDER
+from lintlake.operators.scan import ORDER, run_detectors
 from lintlake.plans import adapters as A
 from lintlake.sources import files as FS
 from lintlake.sources import state
@@ -929,6 +929,36 @@ def w4(spark, sf_dir):
     return doc.select("project_id", F.length(rows).cast("long").alias("n_chars"), F.size(F.regexp_extract_all(rows, F.lit("(<tr>)"), F.lit(1))).cast("long").alias("n_rows"))
 
 
+_W_END = "SELECT project_id, CAST(strlen(d) AS BIGINT) AS n_bytes, sha256(d) AS sha256 FROM d"
+_SHA = "sha256(concat(rule_id, '|', file, '|', CAST(line AS VARCHAR), '|', evidence))"
+_NAMED = f"""concat('{{"lintlake/v1":"', {_SHA}, '"}}')"""
+_RESULT = f"""concat('{{"ruleId":"', rule_id, '","level":"', CASE WHEN upper(severity) IN ('CRITICAL', 'HIGH') THEN 'error' ELSE 'warning' END, '","message":{{"text":"', title,
+ '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"', file, '"}},"region":{{"startLine":', CAST(line AS VARCHAR), '}}}}}}],"fingerprints":', {_NAMED}, ',"partialFingerprints":', {_NAMED}, '}}')"""
+_RULE = """concat('{"id":"', rule_id, '","shortDescription":{"text":"', title, '"},"help":{"text":"', remediation, '"},"properties":{"cwe":"', cwe, '"},"helpUri":"https://cwe.mitre.org/data/definitions/', replace(cwe, 'CWE-', ''), '.html"}')"""
+
+
+@query("w3_sarif_parts", f"""WITH f AS (SELECT *, {_RESULT} AS r, {_RULE} AS u, row_number() OVER (PARTITION BY project_id ORDER BY {', '.join(ORDER)}) AS i FROM ({A.FINDINGS})),
+ u AS (SELECT project_id, string_agg(u, ',' ORDER BY i) AS rules FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY project_id, rule_id ORDER BY i) = 1) GROUP BY 1),
+ r AS (SELECT project_id, string_agg(r, ',' ORDER BY i) AS results FROM f GROUP BY 1),
+ d AS (SELECT project_id, concat('{{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{{"tool":{{"driver":{{"name":"lintlake","rules":[', rules, ']}}}},"results":[', results, ']}}]}}') AS d FROM u JOIN r USING (project_id))
+ {_W_END}""")
+def w3_parts(spark, sf_dir):
+    return state.part_digests(state.sarif_parts(findings(spark, sf_dir).select(*F_COLS), ORDER))
+
+
+@query("w4_html_parts", f"""WITH d AS (SELECT project_id, concat({_re(state._html_head('Findings report'))}, string_agg(concat('<tr><td>', severity, '</td><td>', title, '</td><td>', file, ':', CAST(line AS VARCHAR), '</td><td>', replace(evidence, '"', '&quot;'), '</td></tr>'), '' ORDER BY {', '.join(ORDER)}), '</table>') AS d
+ FROM ({A.FINDINGS}) GROUP BY 1) {_W_END}""")
+def w4_parts(spark, sf_dir):
+    return state.part_digests(state.html_parts(findings(spark, sf_dir).select(*F_COLS), ORDER))
+
+
+@query("u1_run_detectors", f"SELECT 'java' AS engine_id, * FROM ({ORACLES['d9_java_flows']}) UNION ALL SELECT 'python', * FROM ({ORACLES['d8_python_flows']})")
+def u1(spark, sf_dir):
+    """Two of the detectors of a scan over files of both kinds."""
+    programs = [A.code_files(spark, sf_dir, A.program_lines(s)) for s in (".py", ".java")]
+    return run_detectors(programs[0].unionByName(programs[1]), ["python", "java"]).select("engine_id", *_OUT)
+
+
 @query("w6_audit_events", "SELECT event_id, event_type AS event, CAST(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS n_details FROM events")
 def w6(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lintlake.functions.scalars import advisory_cvss, advisory_ranges, advisory_severity, cwe_number, fp_sarif, help_uri, html_escape, sarif_level
 from lintlake.operators.findings import FIELDS
-from lintlake.plans.lineage import remove
+from lintlake.plans.lineage import remove, written
 
 #: Records of each kind of state document, and the key under which a document holds them.
 STATE = {
@@ -83,38 +88,131 @@ def write_findings_csv(findings: DataFrame, path: str) -> None:
     rows.write.option("header", True).option("escape", '"').csv(path)
 
 
-def to_sarif(findings: DataFrame, order: list[str], tool: str = "lintlake") -> DataFrame:
-    """``project_id, document``: one SARIF 2.1.0 document for each project; it holds all findings of the project."""
-    by = F.struct(*order)
-    level = F.col("severity")
-    rule = F.struct(
+def _sarif_rule() -> Column:
+    return F.struct(
         F.col("rule_id").alias("id"),
         F.struct(F.col("title").alias("text")).alias("shortDescription"),
         F.struct(F.when(F.coalesce("remediation", F.lit("")) == "", F.col("title")).otherwise(F.col("remediation")).alias("text")).alias("help"),
         F.when(F.coalesce("cwe", F.lit("")) != "", F.create_map(F.lit("cwe"), F.col("cwe"))).otherwise(F.create_map().cast("map<string,string>")).alias("properties"),
         F.when(cwe_number(F.col("cwe")).isNotNull(), help_uri(F.col("cwe"))).alias("helpUri"),
     )
-    print_ = fp_sarif(F.col("rule_id"), F.col("file"), F.col("line"), F.col("evidence"))
-    named = F.create_map(F.lit(f"{tool}/v1"), print_)
-    result = F.struct(
-        F.col("rule_id").alias("ruleId"), sarif_level(level).alias("level"), F.struct(F.col("title").alias("text")).alias("message"),
-        F.array(
-            F.struct(
-                F.struct(
-                    F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region")
-                ).alias("physicalLocation")
-            )
-        ).alias("locations"),
-        named.alias("fingerprints"), named.alias("partialFingerprints"),
+
+
+def _sarif_result(tool: str) -> Column:
+    named = F.create_map(F.lit(f"{tool}/v1"), fp_sarif(F.col("rule_id"), F.col("file"), F.col("line"), F.col("evidence")))
+    place = F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region"))
+    return F.struct(
+        F.col("rule_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), F.struct(F.col("title").alias("text")).alias("message"),
+        F.array(F.struct(place.alias("physicalLocation"))).alias("locations"), named.alias("fingerprints"), named.alias("partialFingerprints"),
     )
-    # first finding of each rule describes it
-    rules = findings.groupBy("project_id", "rule_id").agg(F.min(by).alias("o"), F.min_by(rule, by).alias("rule"))
+
+
+def _sarif_frame(findings: DataFrame, order: list[str], tool: str) -> DataFrame:
+    """``project_id, head, tail`` around the results; the first finding of each rule describes it."""
+    by = F.struct(*order)
+    rules = findings.groupBy("project_id", "rule_id").agg(F.min(by).alias("o"), F.min_by(_sarif_rule(), by).alias("rule"))
     rules = rules.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", F.to_json("rule").alias("r")))), lambda x: x["r"]).alias("rules"))
-    results = findings.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(by.alias("o"), F.to_json(result).alias("r")))), lambda x: x["r"]).alias("results"))
     head = '{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":{"name":"' + tool + '","rules":['
-    return rules.join(results, "project_id").select(
-        "project_id", F.concat(F.lit(head), F.concat_ws(",", "rules"), F.lit(']}},"results":['), F.concat_ws(",", "results"), F.lit("]}]}")).alias("document")
+    return rules.select("project_id", F.concat(F.lit(head), F.concat_ws(",", "rules"), F.lit(']}},"results":[')).alias("head"), F.lit("]}]}").alias("tail"))
+
+
+def to_sarif(findings: DataFrame, order: list[str], tool: str = "lintlake") -> DataFrame:
+    """``project_id, document``: one SARIF 2.1.0 document for each project, whole in a row; for large projects see ``sarif_parts``."""
+    by = F.struct(*order)
+    results = findings.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(by.alias("o"), F.to_json(_sarif_result(tool)).alias("r")))), lambda x: x["r"]).alias("results"))
+    return _sarif_frame(findings, order, tool).join(results, "project_id").select("project_id", F.concat("head", F.concat_ws(",", "results"), "tail").alias("document"))
+
+
+#: Characters of a part of a document, about; a part has one more entry at most.
+PART_CHARS = 1 << 20
+
+
+def in_parts(entries: DataFrame, order: list[str], frame: DataFrame, between: str, part_chars: int = PART_CHARS) -> DataFrame:
+    """``project_id, part, text``: documents whose parts, by number, give head, entries in order with ``between``, tail.
+
+    ``entries`` has ``project_id``, the columns of ``order`` and ``text``; ``frame`` has ``project_id, head, tail``, one row a
+    document. Entries are dealt out by ranges of project and order, so that a large project is the work of many tasks, each
+    of which writes parts of a bounded size; a document without entries is head and tail.
+    """
+    sort = ["project_id", *order, "text"]
+    dealt = entries.select(*sort).repartitionByRange(*sort).sortWithinPartitions(*sort).select("project_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() + 1
+        project, held, size, made = None, [], 0, 0
+
+        def told() -> pa.RecordBatch:
+            nonlocal made
+            made += 1
+            return pa.RecordBatch.from_pydict({"project_id": pa.array([project], pa.string()), "part": pa.array([(task << 32) + made]), "text": pa.array([between.join(held)], pa.string())})
+
+        for batch in batches:
+            for p, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (p != project or size >= part_chars):
+                    yield told()
+                    held, size = [], 0
+                project = p
+                held.append(text)
+                size += len(text)
+        if held:
+            yield told()
+
+    body = written(dealt.mapInArrow(run, "project_id string, part long, text string"), "document-parts")
+    first = body.groupBy("project_id").agg(F.min("part").alias("first"))
+    joined = body.join(first, "project_id").select(
+        "project_id", "part", F.when(F.col("part") == F.col("first"), F.col("text")).otherwise(F.concat(F.lit(between), F.col("text"))).alias("text")
     )
+    ends = frame.select("project_id", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("part"), F.col("head").alias("text")), F.struct(F.lit((1 << 63) - 1).alias("part"), F.col("tail").alias("text")))).alias("x"))
+    return joined.unionByName(ends.select("project_id", "x.*"))
+
+
+def sarif_parts(findings: DataFrame, order: list[str], tool: str = "lintlake", part_chars: int = PART_CHARS) -> DataFrame:
+    """The documents of ``to_sarif`` in parts; only a project's different rules meet in a row."""
+    entries = findings.select("project_id", *[c for c in order if c != "project_id"], F.to_json(_sarif_result(tool)).alias("text"))
+    return in_parts(entries, order, _sarif_frame(findings, order, tool), ",", part_chars)
+
+
+def html_parts(findings: DataFrame, order: list[str], title: str = "Findings report", part_chars: int = PART_CHARS) -> DataFrame:
+    """The documents of ``to_html`` in parts."""
+    frame = findings.select("project_id").distinct().select("project_id", F.lit(_html_head(title)).alias("head"), F.lit("</table>").alias("tail"))
+    return in_parts(findings.select("project_id", *order, html_row().alias("text")), order, frame, "", part_chars)
+
+
+def write_parts(parts: DataFrame, path: str) -> None:
+    """A folder for each project, whose files by name, put together, are the document, with a line break after each part.
+
+    Parts end between entries, where both formats allow white space.
+    """
+    dealt = parts.repartitionByRange("project_id", "part").sortWithinPartitions("project_id", "part")
+    dealt.select("project_id", F.col("text").alias("value")).write.partitionBy("project_id").text(path)
+
+
+def part_digests(parts: DataFrame) -> DataFrame:
+    """``project_id, n_bytes, sha256`` of each whole document; a task holds one part at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project, state, size = None, None, 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"project_id": pa.array([project], pa.string()), "n_bytes": pa.array([size], pa.int64()), "sha256": pa.array([state.hexdigest()])})
+
+        for batch in batches:
+            for p, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if state is None or p != project:
+                    if state is not None:
+                        yield told()
+                    project, state, size = p, hashlib.sha256(), 0
+                raw = text.encode()
+                state.update(raw)
+                size += len(raw)
+        if state is not None:
+            yield told()
+
+    return parts.repartition("project_id").sortWithinPartitions("project_id", "part").select("project_id", "text").mapInArrow(run, "project_id string, n_bytes long, sha256 string")
+
+
+def _html_head(title: str) -> str:
+    return f"<!doctype html><meta charset='utf-8'><title>{title}</title><h1>{title}</h1><table border='1'><tr><th>Severity</th><th>Finding</th><th>Location</th><th>Evidence</th></tr>"
 
 
 def html_row() -> Column:
@@ -129,7 +227,7 @@ def html_row() -> Column:
 def to_html(findings: DataFrame, order: list[str], title: str = "Findings report") -> DataFrame:
     """``project_id, document``: a page with one table row for each finding."""
     rows = findings.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), html_row().alias("r")))).alias("rows"))
-    head = f"<!doctype html><meta charset='utf-8'><title>{title}</title><h1>{title}</h1><table border='1'><tr><th>Severity</th><th>Finding</th><th>Location</th><th>Evidence</th></tr>"
+    head = _html_head(title)
     return rows.select("project_id", F.concat(F.lit(head), F.array_join(F.transform("rows", lambda x: x["r"]), ""), F.lit("</table>")).alias("document"))
 
 
