@@ -27,8 +27,8 @@ from lintlake.plans.lineage import bounded_batches, written
 MIN_COUNT, TOP, COVERED = 30, 2000, (80, 100)
 #: Rank, among a language's pairs by score, of the first round's score, and the factor by which it grows.
 FIRST_RANK, RANK_STEP = 6000, 4
-#: Bytes of text that get their words together; n-grams that are counted together before they leave a task.
-TEXT_BYTES, HELD = 8 << 20, 4_000_000
+#: Bytes of text that get their words together; n-grams that are counted together before they leave a task, rows of a batch.
+TEXT_BYTES, HELD, BATCH_ROWS = 4 << 20, 2_000_000, 100_000
 #: Flags of a counted phrase: it may begin, or end, a phrase of the score looked for; it has that score itself.
 BEGINS, ENDS, REACHES, COUNTED = 1, 2, 4, 8
 
@@ -211,10 +211,13 @@ def count_ngrams(texts: DataFrame, kind: str, width: int, flags: HashFiles | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
 
-        def flush() -> pa.RecordBatch:
-            columns, times = _distinct([np.concatenate(c) for c in zip(*kept)])
+        def flush() -> Iterator[pa.RecordBatch]:
+            whole = [np.concatenate(c) for c in zip(*kept)]
             kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in [*columns, times]], [*names, "n"])
+            columns, times = _distinct(whole)
+            for lo in range(0, len(times), BATCH_ROWS):
+                part = [c[lo : lo + BATCH_ROWS].astype(np.int64) for c in [*columns, times]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], [*names, "n"])
 
         for batch in batches:
             for row in batch.column(0):
@@ -232,9 +235,9 @@ def count_ngrams(texts: DataFrame, kind: str, width: int, flags: HashFiles | Non
                     if len(columns[0]):
                         kept.append(columns)
                     if sum(len(c[0]) for c in kept) > HELD:
-                        yield flush()
+                        yield from flush()
         if kept:
-            yield flush()
+            yield from flush()
 
     rows = texts.mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "n"]))
     return rows.groupBy(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
