@@ -186,32 +186,35 @@ SECRET_RULES = [
     ("private-key", "Private key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
     ("jwt", "JSON web token", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 ]
+_NAMES = "password|passwd|secret|token|api[_-]?key|private[_-]?key|credential"
 #: A quoted value given to a secret's name, and the bits a character that it must have at least.
-ASSIGNMENT = r"(?i)(?:password|passwd|secret|token|api[_-]?key|private[_-]?key|credential)[A-Za-z0-9_]*[\"']?\s*[:=]\s*[\"']([^\"']{6,})[\"']"
+ASSIGNMENT = r"(?i)(?:" + _NAMES + r")[A-Za-z0-9_]*[\"']?\s*[:=]\s*[\"']([^\"']{6,})[\"']"
 MIN_ENTROPY = 2.5
+#: What every line with a secret holds: the start of a provider's token, or a secret's name and a sign of assignment.
+SECRET_HINT = r"gh[pousr]_|A[KS]IA|xox[abprs]-|AIza|[sr]k_live_|PRIVATE KEY|eyJ|(?i:" + _NAMES + r")[A-Za-z0-9_]*[\"']?\s*[:=]"
 
 
 def scan_secrets(lines: DataFrame, keys: tuple[str, ...] = ("project_id",)) -> DataFrame:
     """Provider tokens (high), and quoted values of secret names (medium) that are no placeholders.
 
-    The evidence is the line with the values replaced; a line with a provider's token has no generic finding.
+    One pattern tells in one pass which lines can hold a secret; only these are held against the patterns of the rules, each
+    once. The evidence is the line with the values replaced; a line with a provider's token has no generic finding. Null
+    lines have none either.
     """
+    likely = lines.where(F.col("text").rlike(SECRET_HINT))
     text = F.col("text")
+    value = F.regexp_extract(text, ASSIGNMENT, 1)
+    rules = [rule_struct(name, title, "CRITICAL" if name == "private-key" else "HIGH", "CWE-798", "high", i) for i, (name, title, _) in enumerate(SECRET_RULES)]
+    generic = rule_struct("secret", "Possible hard-coded secret", "HIGH", "CWE-798", "medium", len(SECRET_RULES))
+    tokens = F.array_compact(F.array(*[F.when(text.rlike(pattern), rule) for (_, _, pattern), rule in zip(SECRET_RULES, rules)]))
+    assigned = (value != "") & ~is_placeholder(value) & (shannon_entropy(value) >= MIN_ENTROPY)
+    hits = likely.withColumn("__tokens", tokens)
+    hits = hits.select(*lines.columns, F.explode(F.when(F.size("__tokens") > 0, F.col("__tokens")).when(assigned, F.array(generic))).alias("rule"))
     hidden = text
     for _, _, pattern in SECRET_RULES:
         hidden = F.regexp_replace(hidden, pattern, "[REDACTED]")
-    hidden = F.regexp_replace(hidden, r"(?i)((?:password|passwd|secret|token|api[_-]?key|private[_-]?key|credential)[A-Za-z0-9_]*[\"']?\s*[:=]\s*[\"'])[^\"']{6,}([\"'])", "$1[REDACTED]$2")
-    value = F.regexp_extract(text, ASSIGNMENT, 1)
-    known = None
-    for _, _, pattern in SECRET_RULES:
-        known = text.rlike(pattern) if known is None else known | text.rlike(pattern)
-    tests = [
-        (text.rlike(pattern), rule_struct(name, title, "CRITICAL" if name == "private-key" else "HIGH", "CWE-798", "high", i))
-        for i, (name, title, pattern) in enumerate(SECRET_RULES)
-    ]
-    generic = ~known & (value != "") & ~is_placeholder(value) & (shannon_entropy(value) >= MIN_ENTROPY)
-    tests.append((generic, rule_struct("secret", "Possible hard-coded secret", "HIGH", "CWE-798", "medium", len(SECRET_RULES))))
-    return as_findings(_matched(lines, tests).withColumn("evidence", hidden), "secrets", *keys)
+    hidden = F.regexp_replace(hidden, r"(?i)((?:" + _NAMES + r")[A-Za-z0-9_]*[\"']?\s*[:=]\s*[\"'])[^\"']{6,}([\"'])", "$1[REDACTED]$2")
+    return as_findings(hits.select(*lines.columns, "rule.*").withColumn("evidence", hidden), "secrets", *keys)
 
 
 def scan_secret_history(patches: DataFrame) -> DataFrame:

@@ -58,6 +58,37 @@ SELECT concat('p', CAST(l_orderkey % 20 AS STRING)) AS project_id, concat('k8s/f
 FROM lineitem
 """
 
+#: Manifest lines of which every rule of compose files, manifests and workflows finds some.
+CONFIG = [
+    "containers:", "  - name: web", "    limits:", "    privileged: true", "hostNetwork: true", "hostPID: true", "  hostPath: /etc", "type: LoadBalancer", "initContainers:",
+    "privileged: true", "network_mode: host", '  - "/var/run/docker.sock:/s"', "API_TOKEN: k3yk3yk3y", "DB_PASSWORD: your-own-value", "SECRET: change-me", "pull_request_target:",
+    "  - uses: actions/checkout@v4", "  - uses: a/b@0123456789abcdef0123456789abcdef01234567", "run: |", "  echo ${{ secrets.A }}", "steps:", "# note", "hostNetwork: false",
+]
+_CONFIG_CASE = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(CONFIG))
+CONFIG_LINES = f"""
+SELECT concat('p', CAST(l_orderkey % 20 AS STRING)) AS project_id, concat('deploy/f', CAST(l_orderkey AS STRING), '.yml') AS rel_path,
+       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_KEY}) AS INT) AS line,
+       CASE l_partkey % {len(CONFIG)} {_CONFIG_CASE} END AS text
+FROM lineitem
+"""
+
+#: Lines with tokens of each provider's format, built from digests of the rows; some too short, some spelled in other ways.
+_TOKENS = [
+    "concat('auth ghp_', substr(d, 1, n))", "concat('use ', substr('AKIA', 1, 3 + n % 2), upper(substr(d, 1, 16)), ' here')", "concat('hook xoxb-', substr(d, 1, n - 8))",
+    "concat('maps AIza', d, substr(d, 1, n % 5))", "concat('pay sk_live_', substr(d, 1, n - 3))", "concat('-----BEGIN ', CASE n % 3 WHEN 0 THEN 'RSA ' WHEN 1 THEN '' ELSE 'rsa ' END, 'PRIVATE KEY-----')",
+    "concat('Bearer eyJ', substr(d, 1, 12), '.eyJ', substr(d, 1, 12), '.', substr(d, 1, n - 12))", "concat('password = \"', substr(d, 1, n - 14), '\"')",
+    "concat('api_key: \"ghp_', substr(d, 1, n), '\"')", "concat('token=\"', repeat(substr(d, 1, 1), n), '\"')", "'secret = \"change-me-please\"'", "concat('plain words ', d)",
+    "concat('sk_live_', d, ' and xoxp-', substr(d, 1, 12))", "concat('tokens ', d)",
+]
+_TOKEN_CASE = " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(_TOKENS))
+SECRET_LINES = f"""
+SELECT project_id, rel_path, line, CASE k {_TOKEN_CASE} END AS text FROM (
+SELECT concat('p', CAST(l_suppkey % 20 AS STRING)) AS project_id, concat('conf/f', CAST(l_orderkey AS STRING), '.txt') AS rel_path,
+       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_KEY}) AS INT) AS line, l_partkey % {len(_TOKENS)} AS k,
+       CAST(16 + l_linenumber + l_suppkey % 5 AS INT) AS n, md5(concat(CAST(l_orderkey AS STRING), '-', CAST(l_partkey AS STRING))) AS d
+FROM lineitem)
+"""
+
 #: Statements of programs with flows from input to a sink.
 STATEMENTS = {
     ".py": ["import os, pickle, hashlib", 'v = request.args["q"]', "os.system(v)", "v = 1", "conn.execute(v)", "pickle.loads(v)", "hashlib.md5(v)", "open(v)", 'conn.execute("select ?", (v,))'],

@@ -292,6 +292,43 @@ def d4c(spark, sf_dir):
     return detect.scan_actions(A.sql(spark, sf_dir, A.YAML_LINES)).select("project_id", "file", "line", "rule_id")
 
 
+# -- manifests in which every rule finds something -----------------------------------------------------------------
+
+_V1_ALL, _V2_ALL = _V1.replace(A.YAML_LINES, A.CONFIG_LINES), _V2.replace(A.YAML_LINES, A.CONFIG_LINES)
+
+
+@query("d3_compose_rules", f"WITH l AS ({A.CONFIG_LINES}) " + _config_sql([
+    ("compose-privileged", "regexp_matches(trim(text), '(?i)^privileged\\s*:\\s*true\\b')"),
+    ("compose-host-network", "regexp_matches(trim(text), '(?i)^network_mode\\s*:\\s*host\\s*$')"),
+    ("compose-docker-socket", "contains(lower(text), 'docker.sock')"),
+    ("compose-plaintext-secret", f"""regexp_matches(trim(text), '(?i)^-?\\s*["'']?[^:]+:\\s*["'']?[^$]') AND regexp_matches(text, {_re(K.SECRET_NAME)})
+      AND trim(substr(text, instr(text, ':') + 1)) <> '' AND NOT regexp_matches(trim(substr(text, instr(text, ':') + 1)), {_re(K.PLACEHOLDER)})"""),
+]))
+def d3_rules(spark, sf_dir):
+    return detect.scan_compose(A.sql(spark, sf_dir, A.CONFIG_LINES)).select(*_OUT)
+
+
+@query("d4_kubernetes_rules", _V1_ALL + ", l2 AS (SELECT * FROM c) " + _config_sql([
+    ("k8s-privileged-container", "inside AND regexp_matches(trim(text), '(?i)^privileged\\s*:\\s*true\\b')"),
+    ("k8s-host-network", "regexp_matches(trim(text), '(?i)^hostNetwork\\s*:\\s*true\\b')"),
+    ("k8s-host-pid", "regexp_matches(trim(text), '(?i)^hostPID\\s*:\\s*true\\b')"),
+    ("k8s-hostpath", "regexp_matches(trim(text), '(?i)^-?\\s*hostPath\\s*:')"),
+    ("k8s-loadbalancer", "regexp_matches(trim(text), '(?i)^type\\s*:\\s*LoadBalancer\\s*$')"),
+]).replace("FROM l WHERE", "FROM l2 WHERE"))
+def d4_rules(spark, sf_dir):
+    return detect.scan_kubernetes(A.sql(spark, sf_dir, A.CONFIG_LINES)).select(*_OUT)
+
+
+@query("d4c_actions_rules", _V2_ALL + ", l2 AS (SELECT *, bool_or(regexp_matches(text, '(?i)pull_request_target\\s*:')) OVER (PARTITION BY project_id, rel_path) AS targeted FROM c) " + _config_sql([
+    ("github-action-unpinned", "contains(text, '- uses:') AND contains(text, '@') AND NOT regexp_matches(text, '@[0-9a-fA-F]{40}$')"),
+    ("github-pull-request-target", "regexp_matches(trim(text), '(?i)pull_request_target\\s*:')"),
+    ("github-target-checkout", "targeted AND contains(text, 'uses: actions/checkout@')"),
+    ("github-secrets-in-run", "(regexp_matches(trim(text), '(?i)\\brun\\s*:') OR (block > 0 AND ended = 0)) AND regexp_matches(text, '\\$\\{\\{\\s*secrets\\.')"),
+]).replace("FROM l WHERE", "FROM l2 WHERE"))
+def d4c_rules(spark, sf_dir):
+    return detect.scan_actions(A.sql(spark, sf_dir, A.CONFIG_LINES)).select(*_OUT)
+
+
 _DOC_LINES = "SELECT source AS project_id, concat('doc', CAST(doc_id AS STRING)) AS rel_path, text AS content FROM documents"
 _SECRET_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents),
@@ -323,6 +360,36 @@ def d7(spark, sf_dir):
     return detect.scan_secret_history(patches).select("project_id", "commit", "file", "line", "rule_id", "evidence")
 
 
+_BITS = "list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: -(len(list_filter(string_split(v, ''), lambda d: d = c)) / length(v)) * log2(len(list_filter(string_split(v, ''), lambda d: d = c)) / length(v))))"
+_HIDDEN = "text"
+for _, _, _pattern in detect.SECRET_RULES:
+    _HIDDEN = f"regexp_replace({_HIDDEN}, {_re(_pattern)}, '[REDACTED]', 'g')"
+_HIDDEN = f"""regexp_replace({_HIDDEN}, '(?i)((?:password|passwd|secret|token|api[_-]?key|private[_-]?key|credential)[A-Za-z0-9_]*["'']?\\s*[:=]\\s*["''])[^"'']{{6,}}(["''])', '\\1[REDACTED]\\2', 'g')"""
+
+
+def _provider_sql(columns: str) -> str:
+    """Findings in the lines of ``SECRET_LINES``, by every rule."""
+    rules = [(n, "CRITICAL" if n == "private-key" else "HIGH", f"regexp_matches(text, {_re(p)})") for n, _, p in detect.SECRET_RULES]
+    rules.append(("secret", "HIGH", f"NOT known AND v <> '' AND bits >= {detect.MIN_ENTROPY} AND NOT regexp_matches(v, {_re(K.PLACEHOLDER)})"))
+    known = " OR ".join(test for _, _, test in rules[:-1])
+    found = " UNION ALL ".join(f"SELECT *, '{n}' AS rule_id, '{s}' AS severity FROM k WHERE {test}" for n, s, test in rules)
+    return f"""WITH l AS ({A.SECRET_LINES}), v AS (SELECT *, regexp_extract(text, {_re(detect.ASSIGNMENT)}, 1) AS v, {known} AS known FROM l),
+ k AS (SELECT *, {_BITS} AS bits FROM v) SELECT {columns} FROM ({found})"""
+
+
+@query("d5_secrets_providers", _provider_sql(f"project_id, rel_path AS file, line, rule_id, severity, trim({_HIDDEN}) AS evidence"))
+def d5_providers(spark, sf_dir):
+    """Tokens of every provider, too short ones and placeholders among them, with their evidence."""
+    return detect.scan_secrets(A.sql(spark, sf_dir, A.SECRET_LINES)).select(*_OUT)
+
+
+@query("d7_secret_history_providers", _provider_sql(f"project_id, md5(rel_path) AS commit, rel_path AS file, line, rule_id, md5(trim({_HIDDEN})) AS evidence_md5"))
+def d7_providers(spark, sf_dir):
+    """The same lines as added lines of commits, one commit a file."""
+    patches = A.sql(spark, sf_dir, A.SECRET_LINES).select("project_id", F.md5("rel_path").alias("commit"), F.col("rel_path").alias("path"), "line", "text")
+    return detect.scan_secret_history(patches).select("project_id", "commit", "file", "line", "rule_id", F.md5("evidence").alias("evidence_md5"))
+
+
 _PY_SINKS = {"os.system(v)": "python-command-injection", "conn.execute(v)": "python-sql-injection", "pickle.loads(v)": "python-unsafe-deserialization", "open(v)": "python-path-traversal"}
 _JAVA_SINKS = {"statement.executeQuery(q);": "java-sql-injection", "Runtime.getRuntime().exec(q);": "java-command-injection", "new FileInputStream(q);": "java-path-traversal"}
 
