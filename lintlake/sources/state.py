@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from lintlake.functions.scalars import advisory_cvss, advisory_ranges, advisory_severity, cwe_number, fp_sarif, help_uri, html_escape, sarif_level
 from lintlake.operators.findings import FIELDS
-from lintlake.plans.lineage import remove, written
+from lintlake.plans.lineage import written
+from lintlake.sources.buckets import read_buckets, write_buckets
 
 #: Records of each kind of state document, and the key under which a document holds them.
 STATE = {
@@ -237,43 +238,14 @@ def write_documents(documents: DataFrame, path: str) -> None:
 
 
 def write_state(df: DataFrame, path: str, version: int) -> str:
-    """Write a new version of a table, partitioned by project; readers go on with the old one until it is complete.
-
-    A version is complete when Spark's success marker is there, so a failed write leaves the last one in force.
-    """
-    target = f"{path}/version={version}"
-    df.write.mode("overwrite").partitionBy("project_id").parquet(target)
-    return target
+    """Write a whole new version of a table; readers go on with the old one until it is complete."""
+    write_buckets(df, path, version)
+    return path
 
 
 def current_state(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest complete version of a table written by ``write_state``."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(base):
-        return None
-    found = [s.getPath() for s in system.listStatus(base) if s.getPath().getName().startswith("version=")]
-    done = [p for p in found if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    if not done:
-        return None
-    last = max(done, key=lambda p: int(p.getName().split("=")[1]))
-    return spark.read.parquet(last.toString())
-
-
-def state_version(spark: SparkSession, path: str) -> int:
-    """Number of the newest complete version, -1 if there is none."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(base):
-        return -1
-    names = [s.getPath() for s in system.listStatus(base) if s.getPath().getName().startswith("version=")]
-    return max([int(p.getName().split("=")[1]) for p in names if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))], default=-1)
-
-
-def drop_versions(spark: SparkSession, path: str, before: int) -> None:
-    """Delete versions older than ``before``."""
-    for v in range(before):
-        remove(spark, f"{path}/version={v}")
+    """The newest complete version of a table written by ``write_state`` or kept by a stream."""
+    return read_buckets(spark, path)
 
 
 #: Detail keys that never reach the audit log.

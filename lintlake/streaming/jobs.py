@@ -7,7 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lintlake.operators import governance
 from lintlake.operators.scan import run_detectors
-from lintlake.sources.state import audit_events, current_state, drop_versions, state_version, write_state
+from lintlake.sources.buckets import drop_before, update_buckets
+from lintlake.sources.state import audit_events
 
 
 def scan_stream(files: DataFrame, out: str, checkpoint: str, which: list[str] | None = None) -> StreamingQuery:
@@ -19,16 +20,19 @@ def scan_stream(files: DataFrame, out: str, checkpoint: str, which: list[str] |
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _state_stream(rows: DataFrame, path: str, checkpoint: str, step, empty: DataFrame | None = None) -> StreamingQuery:
-    """``step(state, batch) -> state`` for each batch; batch n writes version n, so a replay does not apply twice."""
+def _state_stream(rows: DataFrame, path: str, checkpoint: str, step, empty: DataFrame) -> StreamingQuery:
+    """``step(state, batch) -> state`` for each batch, over the buckets of the batch's projects only.
+
+    Batch n writes version n, so a replay does not apply twice, and a batch that failed half way leaves the version before.
+    """
 
     def each(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        if state_version(spark, path) >= n:
-            return
-        before = current_state(spark, path)
-        write_state(step(before if before is not None else empty, batch), path, n)
-        drop_versions(spark, path, max(0, n - 2))
+        held = batch.persist()
+        try:
+            update_buckets(held, path, n, step, empty)
+        finally:
+            held.unpersist()
+        drop_before(batch.sparkSession, path, n - 1)
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -47,7 +51,7 @@ def lifecycle_stream(findings: DataFrame, path: str, checkpoint: str) -> Streami
     """Lifecycle history kept from findings with ``scanned_at``; a batch may hold several scans, applied in their order.
 
     The scans of a batch are applied together, by ``apply_scans``. Batches count as they arrive: a scan that comes in a later
-    batch counts as later, whatever its time.
+    batch counts as later, whatever its time. A batch costs what the buckets of its projects hold, not the whole history.
     """
     spark = findings.sparkSession
 
@@ -58,6 +62,7 @@ def lifecycle_stream(findings: DataFrame, path: str, checkpoint: str) -> Streami
 
 
 def actions_stream(actions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The workflow of findings kept from a stream of actions; invalid actions change nothing."""
     spark = actions.sparkSession
 
     def step(workflow: DataFrame, batch: DataFrame) -> DataFrame:
@@ -67,12 +72,14 @@ def actions_stream(actions: DataFrame, path: str, checkpoint: str) -> StreamingQ
 
 
 def registry_stream(summaries: DataFrame, path: str, checkpoint: str, n: int = 50) -> StreamingQuery:
-    def step(registry: DataFrame | None, batch: DataFrame) -> DataFrame:
-        if registry is None:
-            return governance.bounded_history(batch, n)
+    """The last ``n`` scans of each project, kept from a stream of scan summaries."""
+    spark = summaries.sparkSession
+
+    def step(registry: DataFrame, batch: DataFrame) -> DataFrame:
         return governance.register_scans(registry.drop("last_scan"), batch, n)
 
-    return _state_stream(summaries, path, checkpoint, step)
+    empty = governance.bounded_history(spark.createDataFrame([], summaries.schema), n)
+    return _state_stream(summaries, path, checkpoint, step, empty)
 
 
 def audit_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
