@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import catalog as K
 from lintlake.functions.scalars import fp_asset, fp_lifecycle, redact, risk_score, service_indicator
+from lintlake.operators.pages import PAGE_VALUES, in_pages
 from lintlake.sources.files import is_ignored
 
 CLOSED = ("resolved", "false-positive")
@@ -426,6 +427,11 @@ def inventory_lists(assets: DataFrame) -> DataFrame:
     return assets.groupBy("project_id", "class").agg(F.array_sort(F.collect_list("rel_path")).alias("paths"))
 
 
+def inventory_pages(assets: DataFrame, page_values: int = PAGE_VALUES) -> DataFrame:
+    """The lists of ``inventory_lists`` in pages: ``project_id, class, page, paths, n_before``."""
+    return in_pages(assets, ["project_id", "class"], "rel_path", page_values).withColumnRenamed("values", "paths")
+
+
 def service_indicators(findings: DataFrame) -> DataFrame:
     return findings.where(service_indicator(F.col("title"), F.col("evidence"))).select(
         "project_id", fp_asset(F.col("rule_id"), F.col("file"), F.col("line"), F.col("evidence")).alias("fingerprint"), "file", "rule_id", "evidence"
@@ -454,6 +460,21 @@ def scan_summary(findings: DataFrame, history: DataFrame, verdicts: DataFrame, s
     )
 
 
+def summary_lists(history: DataFrame, page_values: int = PAGE_VALUES) -> DataFrame:
+    """The fingerprint lists of ``scan_summary`` in pages: ``project_id, list, page, fingerprints, n_before``.
+
+    ``list`` is all (without the empty one), new, fixed or reappeared; each holds a fingerprint once.
+    """
+    status = F.col("status")
+    names = F.array_compact(F.array(
+        F.when(F.col("fingerprint") != "", F.lit("all")),
+        F.when((status == "open") & (F.col("first_seen") == F.col("last_seen")), F.lit("new")),
+        F.when(status.isin("fixed", "reappeared"), status),
+    ))
+    rows = history.select("project_id", F.explode(names).alias("list"), "fingerprint").distinct()
+    return in_pages(rows, ["project_id", "list"], "fingerprint", page_values).withColumnRenamed("values", "fingerprints")
+
+
 def bounded_history(summaries: DataFrame, n: int = 50) -> DataFrame:
     """The last ``n`` scans of each project, with ``last_scan`` marking the newest."""
     w = Window.partitionBy("project_id").orderBy(F.col("scanned_at").desc(), F.col("scan_id").desc())

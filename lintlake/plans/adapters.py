@@ -135,6 +135,13 @@ SELECT concat('p', CAST(l_suppkey % 50 AS STRING)) AS project_id, CAST(l_partkey
 FROM lineitem
 """
 
+#: Findings that come back: a month is a scan, and few places hold them.
+SCANNED = f"""
+SELECT project_id, engine_rank, rule_rank, rule_id, title, severity, cwe, concat('src/f', CAST(line AS STRING), '.py') AS file, line,
+       concat('value ', substr(evidence, 7, 1)) AS evidence, CAST(date_trunc('MONTH', seen_at) AS TIMESTAMP) AS scanned_at
+FROM ({FINDINGS})
+"""
+
 #: A scan of a project is a month.
 SCANS = """
 SELECT concat('p', CAST(l_suppkey % 50 AS STRING)) AS project_id,
@@ -185,9 +192,12 @@ FROM documents
 _TABLE = re.compile(r"\b(?:FROM|JOIN) (lineitem|events|part|supplier|documents|pages|orders|labels|conversations)\b")
 
 
-def sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
-    """Run one of the SELECTs over the tables that it names."""
-    tables = {m[1]: spark.read.parquet(f"{sf_dir}/{m[1]}.parquet") for m in _TABLE.finditer(query)}
+def sql(spark: SparkSession, sf_dir: str, query: str, stream: bool = False) -> DataFrame:
+    """Run one of the SELECTs over the tables that it names, read as they are or as a stream of their files."""
+    tables = {}
+    for name in {m[1] for m in _TABLE.finditer(query)}:
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        tables[name] = spark.readStream.schema(table.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if stream else table
     plain = query.replace("{", "{{").replace("}", "}}")
     return spark.sql(_TABLE.sub(lambda m: m[0].replace(m[1], "{" + m[1] + "}"), plain), **tables)
 

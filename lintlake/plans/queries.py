@@ -14,7 +14,10 @@ from lintlake.operators.findings import deduplicate
 from lintlake.operators.scan import ORDER, run_detectors
 from lintlake.plans import adapters as A
 from lintlake.sources import files as FS
+from lintlake.plans.lineage import scratch_path
 from lintlake.sources import state
+from lintlake.sources.buckets import read_buckets
+from lintlake.streaming import jobs
 
 TODAY = "2024-01-01"
 
@@ -683,6 +686,18 @@ def j2_all(spark, sf_dir):
     return _lifecycle(spark, sf_dir)[2].select("project_id", "fingerprint", "status", "times_seen", "first_seen", "last_seen")
 
 
+@query("t2_lifecycle_stream", f"""WITH f AS (SELECT *, {_FP} AS fp FROM ({A.SCANNED})),
+s AS (SELECT project_id, scanned_at, row_number() OVER (PARTITION BY project_id ORDER BY scanned_at DESC) AS k FROM (SELECT DISTINCT project_id, scanned_at FROM f)),
+x AS (SELECT DISTINCT project_id, scanned_at, fp FROM f)
+SELECT project_id, fp AS fingerprint, min(scanned_at) AS first_seen, max(scanned_at) AS last_seen, CAST(count(*) AS INTEGER) AS times_seen,
+ CASE WHEN min(k) > 1 THEN 'fixed' WHEN count(*) > 1 AND NOT bool_or(k = 2) THEN 'reappeared' ELSE 'open' END AS status FROM x JOIN s USING (project_id, scanned_at) GROUP BY 1, 2""")
+def t2(spark, sf_dir):
+    """All findings as a stream of monthly scans, and the history that the stream keeps."""
+    path = scratch_path(spark, "lifecycle")
+    jobs.lifecycle_stream(A.sql(spark, sf_dir, A.SCANNED, stream=True), path, f"{path}-offsets").awaitTermination()
+    return read_buckets(spark, path).select("project_id", "fingerprint", "first_seen", "last_seen", "times_seen", "status")
+
+
 @query("a7_lifecycle_counts", _J2 + "SELECT project_id, status, count(*) AS n FROM r GROUP BY 1, 2")
 def a7(spark, sf_dir):
     return G.lifecycle_counts(_lifecycle(spark, sf_dir)[2])
@@ -957,6 +972,26 @@ def o2(spark, sf_dir):
     return G.inventory_lists(G.inventory_assets(A.files_table(spark, sf_dir)))
 
 
+def _paged(rows: str, keys: str, value: str, values: str, n: int) -> str:
+    """Rows of groups as sorted pages of ``n`` values."""
+    return f"""SELECT {keys}, page, list({value} ORDER BY {value}) AS {values}, page * {n} AS n_before
+ FROM (SELECT {keys}, {value}, (row_number() OVER (PARTITION BY {keys} ORDER BY {value}) - 1) // {n} AS page FROM ({rows})) GROUP BY {keys}, page"""
+
+
+@query("a8_summary_pages", _J2 + ", x AS (" + " UNION ALL ".join(
+    f"SELECT project_id, '{name}' AS list, fingerprint FROM r WHERE {test}"
+    for name, test in [("all", "fingerprint <> ''"), ("new", "status = 'open' AND first_seen = last_seen"), ("fixed", "status = 'fixed'"), ("reappeared", "status = 'reappeared'")]
+) + ") " + _paged("SELECT * FROM x", "project_id, list", "fingerprint", "fingerprints", 100))
+def a8_pages(spark, sf_dir):
+    """All fingerprint lists of the scan summaries, whole."""
+    return G.summary_lists(_lifecycle(spark, sf_dir)[2], 100)
+
+
+@query("o2_inventory_pages", _paged(_A9, "project_id, class", "rel_path", "paths", 100))
+def o2_pages(spark, sf_dir):
+    return G.inventory_pages(G.inventory_assets(A.files_table(spark, sf_dir)), 100)
+
+
 _EXPECTED = "SELECT lang AS case_id, 'quality' AS rule_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 UNION SELECT lang, source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1"
 _OBSERVED = "SELECT lang AS case_id, source AS rule_id FROM documents WHERE n_chars > 8000 UNION SELECT lang, 'quality' FROM documents"
 
