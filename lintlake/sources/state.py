@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from lintlake.functions.scalars import advisory_cvss, advisory_ranges, advisory_severity, cwe_number, fp_sarif, help_uri, html_escape, sarif_level
 from lintlake.operators.findings import FIELDS
 from lintlake.plans.lineage import written
-from lintlake.sources.buckets import read_buckets, write_buckets
+from lintlake.sources.buckets import read_buckets, update_buckets, write_buckets
 
 #: Records of each kind of state document, and the key under which a document holds them.
 STATE = {
@@ -243,6 +243,11 @@ def write_state(df: DataFrame, path: str, version: int) -> str:
     return path
 
 
+def update_state(changes: DataFrame, path: str, version: int, step: Callable[[DataFrame, DataFrame], DataFrame], empty: DataFrame) -> list[int]:
+    """A new version by ``step(state, changes)``, of which only the buckets of the projects in ``changes`` are written."""
+    return update_buckets(changes, path, version, step, empty)
+
+
 def current_state(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest complete version of a table written by ``write_state`` or kept by a stream."""
     return read_buckets(spark, path)
