@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import catalog as K
 from lintlake.functions.scalars import fp_asset, fp_lifecycle, redact, risk_score, service_indicator
+from lintlake.operators import detect, flows
 from lintlake.operators.pages import PAGE_VALUES, in_pages
 from lintlake.sources.files import is_ignored
 
@@ -379,11 +380,16 @@ def classify_files(files: DataFrame) -> DataFrame:
     return out.withColumn("language", F.when(F.col("outcome") == "analyzed", F.when(F.col("suffix") == "", "<no extension>").otherwise(F.col("suffix"))))
 
 
+def known_rules() -> list[str]:
+    """Ids of all rules that a scan of files runs: line, configuration, secret and flow rules."""
+    return [r[0] for r in (*K.LINE_RULES, *K.CONFIG_RULES, *detect.SECRET_RULES)] + ["secret", *flows.FLOW_RULES]
+
+
 def scan_coverage(files: DataFrame, rules_executed: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counts per project, files per project and language, skipped files with their reason."""
     rows = classify_files(files)
     flow = F.col("suffix").isin(*K.FLOW_SUFFIXES, ".java") & (F.col("outcome") == "analyzed")
-    n = len(K.LINE_RULES) + len(K.CONFIG_RULES) if rules_executed is None else rules_executed
+    n = len(known_rules()) if rules_executed is None else rules_executed
     counts = rows.groupBy("project_id").agg(
         *[F.count_if(F.col("outcome") == o).alias(f"files_{o}") for o in ("analyzed", "skipped", "ignored")],
         F.bool_or(flow).alias("flow_engines"), F.lit(n).alias("rules_executed"),

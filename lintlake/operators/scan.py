@@ -23,6 +23,11 @@ def register_detector(name: str, detector: Detector) -> None:
     _registered[name] = detector
 
 
+def unregister_detector(name: str) -> None:
+    """Take a registered detector out again; built-in ones stay."""
+    _registered.pop(name, None)
+
+
 def _heuristics(files: DataFrame) -> DataFrame:
     plain = [s for s in K.SCAN_SUFFIXES if s not in K.FLOW_SUFFIXES]
     return detect.scan_heuristics(explode_lines(eligible_files(files, plain)))

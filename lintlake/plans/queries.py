@@ -356,11 +356,16 @@ def d6(spark, sf_dir):
     return docs.select("doc_id", S.shannon_entropy(F.substring_index("text", " ", 1)).alias("bits"))
 
 
-@query("d7_secret_history")
-def d7(spark, sf_dir):
-    """Turns of conversations as added lines of commits."""
-    patches = A.sql(spark, sf_dir, "SELECT role AS project_id, CAST(conv_id AS STRING) AS commit, concat('t', CAST(turn AS STRING)) AS path, CAST(turn AS INT) AS line, text FROM conversations")
-    return detect.scan_secret_history(patches).select("project_id", "commit", "file", "line", "rule_id", "evidence")
+@query("d6_entropy_lines", """WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+ c AS (SELECT doc_id, line, unnest(string_split(parts[line], '')) AS c, length(parts[line]) AS n FROM l WHERE parts[line] <> ''),
+ k AS (SELECT doc_id, line, c, any_value(n) AS n, count(*) AS m FROM c GROUP BY 1, 2, 3),
+ b AS (SELECT doc_id, line, sum(-(m / n) * log2(m / n)) AS bits FROM k GROUP BY 1, 2)
+ SELECT doc_id, CAST(line AS INTEGER) AS line, round(coalesce(b.bits, 0), 6) + 0 AS bits FROM l LEFT JOIN b USING (doc_id, line)""")
+def d6_lines(spark, sf_dir):
+    """Every line of every document, the empty ones too."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return lines.select("doc_id", (F.col("pos") + 1).alias("line"), F.round(S.shannon_entropy(F.col("text")) + 0.0, 6).alias("bits"))
 
 
 _BITS = "list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: -(len(list_filter(string_split(v, ''), lambda d: d = c)) / length(v)) * log2(len(list_filter(string_split(v, ''), lambda d: d = c)) / length(v))))"
@@ -370,13 +375,13 @@ for _, _, _pattern in detect.SECRET_RULES:
 _HIDDEN = f"""regexp_replace({_HIDDEN}, '(?i)((?:password|passwd|secret|token|api[_-]?key|private[_-]?key|credential)[A-Za-z0-9_]*["'']?\\s*[:=]\\s*["''])[^"'']{{6,}}(["''])', '\\1[REDACTED]\\2', 'g')"""
 
 
-def _provider_sql(columns: str) -> str:
-    """Findings in the lines of ``SECRET_LINES``, by every rule."""
+def _provider_sql(columns: str, lines: str = A.SECRET_LINES) -> str:
+    """Findings in ``lines``, by every rule."""
     rules = [(n, "CRITICAL" if n == "private-key" else "HIGH", f"regexp_matches(text, {_re(p)})") for n, _, p in detect.SECRET_RULES]
     rules.append(("secret", "HIGH", f"NOT known AND v <> '' AND bits >= {detect.MIN_ENTROPY} AND NOT regexp_matches(v, {_re(K.PLACEHOLDER)})"))
     known = " OR ".join(test for _, _, test in rules[:-1])
     found = " UNION ALL ".join(f"SELECT *, '{n}' AS rule_id, '{s}' AS severity FROM k WHERE {test}" for n, s, test in rules)
-    return f"""WITH l AS ({A.SECRET_LINES}), v AS (SELECT *, regexp_extract(text, {_re(detect.ASSIGNMENT)}, 1) AS v, {known} AS known FROM l),
+    return f"""WITH l AS ({lines}), v AS (SELECT *, regexp_extract(text, {_re(detect.ASSIGNMENT)}, 1) AS v, {known} AS known FROM l),
  k AS (SELECT *, {_BITS} AS bits FROM v) SELECT {columns} FROM ({found})"""
 
 
@@ -393,6 +398,15 @@ def d7_providers(spark, sf_dir):
     return detect.scan_secret_history(patches).select("project_id", "commit", "file", "line", "rule_id", F.md5("evidence").alias("evidence_md5"))
 
 
+_TURNS = "SELECT role AS project_id, CAST(conv_id AS STRING) AS commit, concat('t', CAST(turn AS STRING)) AS path, CAST(turn AS INT) AS line, text FROM conversations"
+
+
+@query("d7_secret_history", _provider_sql(f"project_id, commit, path AS file, line, rule_id, left(trim({_HIDDEN}), {K.MAX_EVIDENCE}) AS evidence", _TURNS))
+def d7(spark, sf_dir):
+    """Turns of conversations as added lines of commits."""
+    return detect.scan_secret_history(A.sql(spark, sf_dir, _TURNS)).select("project_id", "commit", "file", "line", "rule_id", "evidence")
+
+
 _PY_SINKS = {"os.system(v)": "python-command-injection", "conn.execute(v)": "python-sql-injection", "pickle.loads(v)": "python-unsafe-deserialization", "open(v)": "python-path-traversal"}
 _JAVA_SINKS = {"statement.executeQuery(q);": "java-sql-injection", "Runtime.getRuntime().exec(q);": "java-command-injection", "new FileInputStream(q);": "java-path-traversal"}
 
@@ -781,6 +795,13 @@ def a4(spark, sf_dir):
     return G.governance_summary(_workflow(spark, sf_dir)[0], seen, _today()).drop("state_counts")
 
 
+@query("a4_state_counts", f"SELECT project_id, state, count(*) AS n FROM ({_WORKFLOW}) GROUP BY 1, 2")
+def a4_states(spark, sf_dir):
+    """The records of each state, as the summary's map has them."""
+    summary = G.governance_summary(_workflow(spark, sf_dir)[0], A.sql(spark, sf_dir, _SEEN), _today())
+    return summary.select("project_id", F.explode("state_counts").alias("state", "n"))
+
+
 # -- dependencies ------------------------------------------------------------------------------------------------
 
 
@@ -884,6 +905,14 @@ def a1(spark, sf_dir):
     return G.scan_coverage(A.files_table(spark, sf_dir))[0].select("project_id", "files_analyzed", "files_skipped", "files_ignored")
 
 
+_RULE_IDS = [*(r[0] for r in (*K.LINE_RULES, *K.CONFIG_RULES, *detect.SECRET_RULES)), "secret", *flows.FLOW_RULES]
+
+
+@query("a1_engines", f"""SELECT project_id, bool_or(outcome = 'analyzed' AND suffix IN {(*K.FLOW_SUFFIXES, '.java')}) AS flow_engines, CAST(len({_RULE_IDS}) AS INTEGER) AS rules_executed FROM ({_CLASSED}) GROUP BY 1""")
+def a1_engines(spark, sf_dir):
+    return G.scan_coverage(A.files_table(spark, sf_dir))[0].select("project_id", "flow_engines", "rules_executed")
+
+
 @query("a1_languages", f"SELECT project_id, CASE WHEN suffix = '' THEN '<no extension>' ELSE suffix END AS language, count(*) AS n_files FROM ({_CLASSED}) WHERE outcome = 'analyzed' GROUP BY 1, 2")
 def a1b(spark, sf_dir):
     return G.scan_coverage(A.files_table(spark, sf_dir))[1]
@@ -899,6 +928,15 @@ def a2(spark, sf_dir):
     return G.finding_quality(findings(spark, sf_dir)).drop("interpretation")
 
 
+@query("a2_interpretation", f"""SELECT project_id, file, CASE WHEN bool_or(lower(confidence) = 'high') THEN 'Some findings have a modeled path from source to sink.' ELSE 'No finding has a modeled path from source to sink.' END AS interpretation
+ FROM ({A.FINDINGS}) GROUP BY 1, 2""")
+def a2_text(spark, sf_dir):
+    """Each file of a project as a project, so that both readings occur."""
+    by_file = findings(spark, sf_dir).withColumn("project_id", F.to_json(F.struct("project_id", "file")))
+    both = F.from_json("project_id", "project_id string, file string")
+    return G.finding_quality(by_file).select(both.alias("p"), "interpretation").select("p.*", "interpretation")
+
+
 @query("a5_severity_counts", f"SELECT project_id, upper(severity) AS severity, count(*) AS n FROM ({A.FINDINGS}) GROUP BY 1, 2")
 def a5(spark, sf_dir):
     return G.severity_counts(findings(spark, sf_dir))

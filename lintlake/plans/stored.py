@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintlake.functions import catalog as K
+from lintlake.functions.scalars import project_id
 from lintlake.operators import governance as G
-from lintlake.operators.findings import FIELDS, with_order
+from lintlake.operators.findings import FIELDS, as_findings, rule_struct, with_order
+from lintlake.operators.scan import register_detector, run_detectors, unregister_detector
 from lintlake.plans import adapters as A
 from lintlake.plans import queries as Q
 from lintlake.plans.lineage import scratch_path
 from lintlake.plans.queries import query
 from lintlake.sources import state
-from lintlake.sources.files import with_path_parts
+from lintlake.sources.files import eligible_files, explode_lines, read_project_files, with_path_parts
 from lintlake.streaming import jobs
 
 _TYPES = ", ".join(f"{c} {'int' if c == 'line' else 'string'}" for c in FIELDS)
@@ -42,6 +44,60 @@ def w5(spark, sf_dir):
     return state.current_state(spark, path).select("project_id", "fingerprint", "status", "times_seen", "first_seen", "last_seen")
 
 
+#: Orders written as lines of a file hold at most so many; the rest of a folder goes to further files.
+FILE_LINES = 5_000
+
+
+@query("s1_read_project_files", """SELECT CAST(o_orderkey % 2 AS INTEGER) AS root, concat('status=', o_orderstatus, '/year=', CAST(year(o_orderdate) AS VARCHAR)) AS folder,
+ '.txt' AS suffix, concat(CAST(o_orderkey AS VARCHAR), ' ', o_orderpriority) AS text, count(*) AS n FROM orders GROUP BY ALL""")
+def s1(spark, sf_dir):
+    """Orders as text files below two roots, read as projects and cut into lines."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.concat_ws(" ", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value"),
+        (F.col("o_orderkey") % 2).cast("int").alias("root"), F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("year"),
+    )
+    roots = [scratch_path(spark, f"project{k}") for k in (0, 1)]
+    for k, root in enumerate(roots):
+        orders.where(F.col("root") == k).drop("root").write.partitionBy("status", "year").option("maxRecordsPerFile", FILE_LINES).text(root)
+    files = read_project_files(spark, roots).where(F.col("suffix") == ".txt")
+    lines = explode_lines(files, "project_id", "rel_path", "suffix")
+    known = [F.when(F.col("project_id") == project_id(F.lit(root)), k) for k, root in enumerate(roots)]
+    folder = F.regexp_replace("rel_path", "/[^/]*$", "")
+    return lines.groupBy(F.coalesce(*known).alias("root"), folder.alias("folder"), "suffix", "text").agg(F.count("*").alias("n"))
+
+
+@query("s3_load_policies", Q.ORACLES["p6_normalize_policy"])
+def s3(spark, sf_dir):
+    """A policy document for each project, written, read and checked."""
+    path = scratch_path(spark, "policies")
+    chosen = Q._policies(Q.findings(spark, sf_dir))
+    record = F.to_json(F.struct(*chosen.columns))
+    chosen.select(record.alias("value"), F.md5("project_id").alias("document")).write.partitionBy("document").text(path)
+    return G.normalize_policy(state.load_policies(spark, path))
+
+
+@query("x1_register_detector", """SELECT 'turn-commas' AS engine_id, role AS project_id, concat('c', CAST(conv_id AS VARCHAR), '.txt') AS file, CAST(i AS INTEGER) AS line, 'commas' AS rule_id, 'LOW' AS severity, left(trim(parts[i], chr(32) || chr(9)), 300) AS evidence
+ FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT role, conv_id, string_split(text, chr(10)) AS parts FROM conversations WHERE octet_length(encode(text)) <= 2000000)) WHERE contains(parts[i], ',')""")
+def x1(spark, sf_dir):
+    """A detector of our own, run by name beside the built-in ones: lines of turns with a comma."""
+    name = "turn-commas"
+
+    def commas(files):
+        lines = explode_lines(eligible_files(files, [".txt"])).where(F.col("text").contains(","))
+        return as_findings(lines.select("*", rule_struct("commas", "A line has a comma", "LOW", "CWE-0", "low", 0).alias("rule")).select("*", "rule.*").withColumn("evidence", F.col("text")), name)
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null").select(
+        F.col("role").alias("project_id"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".txt")).alias("rel_path"),
+        F.octet_length("text").cast("long").alias("size"), F.col("text").alias("content"),
+    )
+    register_detector(name, commas)
+    try:
+        found = run_detectors(with_path_parts(turns), [name])
+    finally:
+        unregister_detector(name)
+    return found.select("engine_id", "project_id", "file", "line", "rule_id", "severity", "evidence")
+
+
 @query("s2_read_state", Q._J2 + "SELECT fingerprint, status, times_seen, first_seen, last_seen FROM r")
 def s2(spark, sf_dir):
     """History as a document for each project, written and read."""
