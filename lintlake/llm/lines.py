@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm.hashfiles import HashFiles, bits_for, distinct_files, pack, unpack
@@ -26,7 +26,7 @@ MIN_EDIT_CHARS = 24
 MIN_CHARS = 1
 #: Lines compared at once in a segment's bucket; larger buckets are dealt out in chunks.
 BUCKET = 512
-#: lid = doc_id * LINE_SPAN + line number.
+#: lid = (doc_id << LINE_BITS) + line number.
 LINE_BITS = 24
 
 
@@ -71,12 +71,9 @@ class Hasher:
         return (self.total[e] - self.total[s]) * self.inverse[s]
 
 
-def _lid(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
-    return (doc << LINE_BITS) + number
-
-
 def line_table(docs: DataFrame) -> DataFrame:
     """``lid, h, chars`` of every line: its place, a 64-bit hash of its text, its length."""
+    shift = LINE_BITS
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +82,7 @@ def line_table(docs: DataFrame) -> DataFrame:
             points, s, e = code_points(buf, starts, ends)
             h = mix(Hasher(points)(s, e) ^ (e - s).astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_lid(part.column(0).to_numpy()[row], number)), pa.array(h.view(np.int64)), pa.array((e - s).astype(np.int32))],
+                [pa.array((part.column(0).to_numpy()[row] << shift) + number), pa.array(h.view(np.int64)), pa.array((e - s).astype(np.int32))],
                 ["lid", "h", "chars"],
             )
 
@@ -340,25 +337,49 @@ def line_classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
     return table.join(classes.select("h", "g").join(heads, "g").select("h", "class_lid"), "h").select("lid", "class_lid", "chars")
 
 
-def duplicate_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """``doc_id, dup_lines array<struct<line, class_lid>>``: the lines that repeat an earlier one, by document."""
-    again = line_classes(docs, tau).where("lid <> class_lid")
-    return again.groupBy(F.shiftright("lid", LINE_BITS).alias("doc_id")).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct((F.col("lid") - F.shiftleft(F.shiftright("lid", LINE_BITS), LINE_BITS)).cast("int").alias("line"), "class_lid")
-            )
-        ).alias("dup_lines")
-    )
+def duplicate_lines(docs: DataFrame, tau: int = TAU, units: DataFrame | None = None) -> DataFrame:
+    """``doc_id, dup_lines array<struct<line, class_lid>>``: the lines that repeat an earlier one, by document.
 
+    With ``units`` (see ``in_units``) the ids of ``docs`` are numbers of units, and the documents' own are given back.
+    """
+    again = line_classes(docs, tau).where("lid <> class_lid").withColumn("unit", F.shiftright("lid", LINE_BITS))
+    if units is None:
+        again = again.withColumn("doc_id", F.col("unit")).withColumn("first_unit", F.col("unit"))
+    else:
+        again = again.join(units, "unit")
+    line = (F.col("lid") - F.shiftleft("first_unit", LINE_BITS)).cast("int").alias("line")
+    return again.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(line, "class_lid"))).alias("dup_lines"))
 
-def checked(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` fit for the line numbers: ids within 2**39 and texts of fewer than 2**24 lines, else an error."""
+
+def in_units(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs(doc_id, text)`` with ids that leave room for line numbers, and the way back to their own ids.
+
+    Ids within 2**39 and texts of fewer than 2**24 lines are left as they are (None for the way back). Else a document
+    gets one unit for each 2**24 lines, in the order of ids, so that any id and any length have places of their own:
+    ids are cut into ranges, and only a count for each range reaches the driver. ``units`` has ``unit, doc_id, first_unit``.
+    """
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    bad = (F.abs("doc_id") >= F.lit(1 << 39)) | (lines >= (1 << LINE_BITS) - 1)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(
-        F.when(bad, F.raise_error(F.lit("doc_id or number of lines out of range"))).otherwise(F.col("doc_id")).alias("doc_id"), "text"
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    limit = F.lit(1 << (63 - LINE_BITS))
+    wide = docs.where((F.col("doc_id") >= limit) | (F.col("doc_id") <= -limit) | ((F.octet_length("text") >= (1 << LINE_BITS) - 1) & (lines >= (1 << LINE_BITS) - 1)))
+    if wide.isEmpty():
+        return docs, None
+    sized = docs.select("doc_id", (F.shiftright(lines.cast("long"), LINE_BITS) + 1).alias("n"))
+    sized = written(sized.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "units")
+    at, offsets = 0, []
+    for part, n in sized.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        offsets.append((part, at))
+        at += n
+    starts = docs.sparkSession.createDataFrame(offsets, "part int, at long")
+    before = F.sum("n").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    placed = sized.join(F.broadcast(starts), "part").select(
+        "doc_id", "n", (F.col("at") + F.coalesce(before, F.lit(0))).alias("first_unit")
+    )
+    placed = written(placed, "unitplaces")
+    units = placed.select(
+        F.explode(F.sequence("first_unit", F.col("first_unit") + F.col("n") - 1)).alias("unit"), "doc_id", "first_unit"
     )
+    return docs.join(placed, "doc_id").select(F.col("first_unit").alias("doc_id"), "text"), units
 
 
 def dedup_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
@@ -367,14 +388,19 @@ def dedup_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     Keeps every row and column, but for columns of its own three names, which are replaced; the text column of a row
     that loses lines is joined anew from the rest. Rows with a null id or text keep their text, an empty table stays
     empty, and a text of any length is taken whole. Of rows that repeat an id (their lines could not be told apart)
-    one is looked at and the rest keep their text.
+    one is looked at and the rest keep their text. ``class_lid`` is the place of a class's first line: the id (where
+    ``in_units`` had to number the documents: the unit) times 2**24, and the line's number.
     """
-    plain = checked(docs.where("doc_id is not null and text is not null").select("doc_id", "text"))
-    plain = plain.dropDuplicates(["doc_id"]) if _repeats(docs) else plain
-    again = duplicate_lines(plain, tau).withColumnRenamed("doc_id", "__id").withColumnRenamed("dup_lines", "__dup")
+    plain = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    plain, units = in_units(plain.dropDuplicates(["doc_id"]) if _repeats(docs) else plain)
+    again = duplicate_lines(plain, tau, units).withColumnRenamed("doc_id", "__id").withColumnRenamed("dup_lines", "__dup")
     again = again.withColumn("__gone", F.transform("__dup", lambda d: d["line"]))
     joined = docs.join(again, docs["doc_id"] == F.col("__id"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
+    # the one-element array holds the lines, so that a text is cut once
+    kept = F.transform(
+        F.array(F.split("text", "\n")), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n")
+    )[0]
     return joined.select(
         *[docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_removed", "dup_lines")],
         F.when(F.col("__dup").isNotNull(), kept).otherwise(F.col("text")).alias("text"),
