@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 from lintlake.plans.lineage import remove, scratch_path, written
 
 RECORD_END = "\r\n\r\n"
-#: Captures in a file at most; bytes of an archive that are unpacked at a time.
+#: Captures in a file at most, bytes of the pages that a file is meant to hold, bytes of an archive unpacked at a time.
 FILE_CAPTURES = 20_000
+FILE_BYTES = 64 << 20
 CHUNK = 1 << 20
 #: Parts into which the revisits of one response are dealt.
 SALTS = 32
@@ -69,41 +70,42 @@ def plan_captures(pages: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce("url", F.lit("")).alias("url"),
         F.coalesce("html", F.lit("")).alias("html"),
-    )
-    base = _numbered(base.withColumn("payload_digest", base32_sha1(F.encode("html", "utf-8"))))
-    size = F.octet_length("html")
+    ).withColumn("payload_digest", base32_sha1(F.encode("html", "utf-8")))
+    keys = ["page_id", "payload_digest"]
+    # only digests meet by digest, each once an id and payload; the pages come by id and payload, which no hot payload skews
+    digests = written(base.select(*keys, (F.octet_length("html") >= min_payload_bytes).alias("large")), "page-digests")
+    times = digests.groupBy(*keys, "large").agg(F.count("*").alias("times"))
     holder = (
-        base.where(size >= min_payload_bytes)
-        .groupBy(F.col("payload_digest").alias("holder_digest"))
+        digests.where("large").groupBy(F.col("payload_digest").alias("holder_digest"))
         .agg(F.max("page_id").alias("holder"), F.count("*").alias("copies"))
-        .where("copies > 1")
+        .where("copies > 1 and holder is not null")
     )
-    joined = base.join(
-        holder, (F.col("payload_digest") == F.col("holder_digest")) & (size >= min_payload_bytes), "left"
+    holder = holder.withColumn("holder_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
+    met = times.withColumn("salt", salt).join(
+        holder,
+        (F.col("payload_digest") == F.col("holder_digest")) & (F.col("salt") == F.col("holder_salt"))
+        & F.col("large") & ~F.col("page_id").eqNullSafe(F.col("holder")),
+        "left",
     )
-    revisit = F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
-    return joined.select(
-        "page_id",
-        "url",
-        "html",
-        "payload_digest",
-        "occurrence",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("holder")).alias("refers_to_id"),
+    fate = met.where("holder is not null or times > 1").select(
+        F.col("page_id").alias("__page_id"), F.col("payload_digest").alias("__payload_digest"), "times", "holder"
     )
-
-
-def _numbered(captures: DataFrame) -> DataFrame:
-    """Add ``occurrence``, from 1, among rows of one page_id and payload; only such rows are sorted for it."""
-    keys = ["page_id", "payload_digest"]
-    again = captures.groupBy(*keys).agg(F.count("*").alias("times")).where("times > 1")
-    if again.isEmpty():
-        return captures.withColumn("occurrence", F.lit(1).cast("long"))
-    again = again.select(*[F.col(k).alias(f"__{k}") for k in keys])
     same = F.col("page_id").eqNullSafe(F.col("__page_id")) & (F.col("payload_digest") == F.col("__payload_digest"))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("url")).cast("long")
-    return captures.join(again, same, "left_anti").withColumn("occurrence", F.lit(1).cast("long")).unionByName(
-        captures.join(again, same, "left_semi").withColumn("occurrence", number)
+    joined = base.join(fate, same, "left")
+    if not times.where("times > 1").isEmpty():
+        # of rows that repeat an id and payload, and of these only, the order is found
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy("url")).cast("long")
+        once = F.coalesce("times", F.lit(1)) == 1
+        joined = joined.where(once).withColumn("occurrence", F.lit(1).cast("long")).unionByName(
+            joined.where(~once).withColumn("occurrence", number)
+        )
+    else:
+        joined = joined.withColumn("occurrence", F.lit(1).cast("long"))
+    return joined.select(
+        "page_id", "url", "html", "payload_digest", "occurrence",
+        F.when(F.col("holder").isNotNull(), "revisit").otherwise("response").alias("record_type"),
+        F.col("holder").alias("refers_to_id"),
     )
 
 
@@ -124,11 +126,18 @@ def _record(kind: Column | str, headers: list[tuple[str, Column]], body: Column)
     return F.concat(*lines)
 
 
-def write_warc(captures: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z") -> None:
+def captures_a_file(pages: DataFrame) -> int:
+    """How many captures of pages of this mean size make FILE_BYTES, within 1 and FILE_CAPTURES; one number is collected."""
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0]
+    return max(1, min(FILE_CAPTURES, int(FILE_BYTES / max(mean or 0, 1))))
+
+
+def write_warc(captures: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z", file_captures: int = FILE_CAPTURES) -> None:
     """Write the planned captures as gzipped WARC files under ``path``, three records a capture.
 
-    Every capture carries its whole payload, a revisit too, so any record can be digested on its own.
-    Control characters in a url are percent-encoded, since a header is one line.
+    Captures are dealt to tasks evenly by bytes (the session's advisory partition size) where the optimiser adapts; a
+    file holds at most ``file_captures`` of them, which ``captures_a_file`` fits to the pages' mean size. Every capture carries its whole payload, a revisit too, so any record can be digested on its
+    own. Control characters in a url are percent-encoded, since a header is one line.
     """
     pid = F.col("page_id")
     url = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
@@ -163,8 +172,10 @@ def write_warc(captures: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z
          ("Content-Type", F.lit("application/warc-fields"))],
         note,
     )
-    records = captures.select(F.concat_ws(RECORD_END, main, request, metadata).alias("value"))
-    (records.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_CAPTURES)
+    # even parts by bytes, by a key so that a retried task writes the same records
+    dealt = captures.hint("rebalance", F.col("page_id"), F.col("payload_digest"))
+    records = dealt.select(F.concat_ws(RECORD_END, main, request, metadata).alias("value"))
+    (records.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", file_captures)
      .option("zlib.compress.level", "BEST_SPEED").text(path))
 
 
@@ -335,7 +346,7 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     path = scratch_path(spark, f"warc-{uuid.uuid4().hex[:8]}")
-    write_warc(plan_captures(pages), path)
+    write_warc(plan_captures(pages), path, file_captures=captures_a_file(pages))
     whole = assemble(read_warc(spark, path))
     page = F.nullif(F.col("metadata")[0]["page_ref"], F.lit("")).cast("long")
     named = whole.select(
