@@ -92,7 +92,8 @@ def plan_captures(pages: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
         F.col("page_id").alias("__page_id"), F.col("payload_digest").alias("__payload_digest"), "times", "holder"
     )
     same = F.col("page_id").eqNullSafe(F.col("__page_id")) & (F.col("payload_digest") == F.col("__payload_digest"))
-    joined = base.join(fate, same, "left")
+    # by merging at every size: the pages are shuffled once, and dealt evenly to the files
+    joined = base.join(fate.hint("merge"), same, "left")
     if not times.where("times > 1").isEmpty():
         # of rows that repeat an id and payload, and of these only, the order is found
         number = F.row_number().over(Window.partitionBy(*keys).orderBy("url")).cast("long")
@@ -135,8 +136,8 @@ def captures_a_file(pages: DataFrame) -> int:
 def write_warc(captures: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z", file_captures: int = FILE_CAPTURES) -> None:
     """Write the planned captures as gzipped WARC files under ``path``, three records a capture.
 
-    Captures are dealt to tasks evenly by bytes (the session's advisory partition size) where the optimiser adapts; a
-    file holds at most ``file_captures`` of them, which ``captures_a_file`` fits to the pages' mean size. Every capture carries its whole payload, a revisit too, so any record can be digested on its
+    A file holds at most ``file_captures``, whatever their size: ``captures_a_file`` fits that to the pages' mean. Every
+    capture carries its whole payload, a revisit too, so any record can be digested on its
     own. Control characters in a url are percent-encoded, since a header is one line.
     """
     pid = F.col("page_id")
@@ -172,9 +173,7 @@ def write_warc(captures: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z
          ("Content-Type", F.lit("application/warc-fields"))],
         note,
     )
-    # even parts by bytes, by a key so that a retried task writes the same records
-    dealt = captures.hint("rebalance", F.col("page_id"), F.col("payload_digest"))
-    records = dealt.select(F.concat_ws(RECORD_END, main, request, metadata).alias("value"))
+    records = captures.select(F.concat_ws(RECORD_END, main, request, metadata).alias("value"))
     (records.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", file_captures)
      .option("zlib.compress.level", "BEST_SPEED").text(path))
 
