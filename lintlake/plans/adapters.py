@@ -170,6 +170,14 @@ SELECT concat('p', CAST(s.s_suppkey % 50 AS STRING)) AS project_id, p.p_name AS
 FROM part p JOIN supplier s ON p.p_partkey % 100 = s.s_suppkey % 100
 """
 
+#: The different rows of PACKAGES: what parts and suppliers show of themselves is made different before they meet, as the
+#: pairs of rows would grow with the product of both tables.
+DIFFERENT_PACKAGES = """
+SELECT DISTINCT s.project_id, p.package, p.version, s.source, 'npm' AS ecosystem, false AS lockfile
+FROM (SELECT DISTINCT p_partkey % 100 AS k, p_name AS package, CAST(p_size AS STRING) AS version FROM part) p
+JOIN (SELECT DISTINCT s_suppkey % 100 AS k, concat('p', CAST(s_suppkey % 50 AS STRING)) AS project_id, concat('m', CAST(s_suppkey % 3 AS STRING), '/package.json') AS source FROM supplier) s ON p.k = s.k
+"""
+
 ADVISORIES = """
 SELECT p_name AS package, CAST(p_size AS STRING) AS version, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE concat('OSV-', CAST(p_partkey AS STRING)) END AS id,
        CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('Issue in ', p_brand) END AS summary,

@@ -810,13 +810,13 @@ def a4_states(spark, sf_dir):
  concat('npm package ', d.package, ' ', d.version, ' matches advisory ', a.id) AS evidence
  FROM (SELECT project_id, package, version, min(source) AS source FROM ({A.PACKAGES}) GROUP BY 1, 2, 3) d JOIN ({A.ADVISORIES}) a ON d.package = a.package AND d.version = a.version WHERE a.id IS NOT NULL)""")
 def j1(spark, sf_dir):
-    f = dependencies.dependency_findings(A.sql(spark, sf_dir, A.PACKAGES), A.sql(spark, sf_dir, A.ADVISORIES))
+    f = dependencies.dependency_findings(A.sql(spark, sf_dir, A.DIFFERENT_PACKAGES), A.sql(spark, sf_dir, A.ADVISORIES))
     return f.select("project_id", "cve", "file", "severity", "title", "evidence")
 
 
 def _manifests(spark, sf_dir):
     """Manifests of seven kinds, one for each supplier and kind, with the supplier's parts as packages."""
-    parts = A.sql(spark, sf_dir, A.PACKAGES).withColumn("package", F.replace("package", F.lit(" "), F.lit("-")))
+    parts = A.sql(spark, sf_dir, A.DIFFERENT_PACKAGES).withColumn("package", F.replace("package", F.lit(" "), F.lit("-")))
     by = parts.groupBy("project_id").agg(F.array_sort(F.collect_set(F.struct("package", "version"))).alias("x"))
     each = lambda form: F.transform("x", lambda p: F.format_string(form, p["package"], p["version"]))
     doc = lambda head, form, sep, tail: F.concat(F.lit(head), F.array_join(each(form), sep), F.lit(tail))
