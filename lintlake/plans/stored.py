@@ -100,12 +100,9 @@ def x1(spark, sf_dir):
 
 @query("s2_read_state", Q._J2 + "SELECT fingerprint, status, times_seen, first_seen, last_seen FROM r")
 def s2(spark, sf_dir):
-    """History as a document for each project, written and read."""
-    history = Q._lifecycle(spark, sf_dir)[2]
-    fields = F.struct(*[c for c in history.columns if c not in ("project_id", "fingerprint")])
-    documents = history.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("fingerprint", fields))).alias("findings"))
+    """History as documents of each project, written and read."""
     path = scratch_path(spark, "documents")
-    documents.select("project_id", F.to_json(F.struct("findings")).alias("value")).repartition("project_id").write.partitionBy("project_id").text(path)
+    state.write_history(Q._lifecycle(spark, sf_dir)[2], path)
     return state.read_state(spark, path, "history").select("fingerprint", "status", "times_seen", "first_seen", "last_seen")
 
 
