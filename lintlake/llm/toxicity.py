@@ -31,6 +31,8 @@ SIDE = 6
 WINDOWS = 20_000
 ROUNDS = 80
 SHRINK = 1e-4
+#: Texts and tokens that training turns into features at a time.
+SLICE_TEXTS, SLICE_TOKENS = 64, 1 << 16
 
 PREFIXES = (4, 5, 6)
 SUFFIX = 5
@@ -249,16 +251,36 @@ def row_scores(model: Model, at: np.ndarray, p: np.ndarray, first: np.ndarray) -
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def _sliced_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """First token of each text and all features, as ``token_features`` gives them, from few texts at a time."""
+    first, parts = [np.zeros(1, np.int64)], []
+    for lo in range(0, len(texts), SLICE_TEXTS):
+        _, _, begins, features = token_features(*utf8(pa.array(texts[lo : lo + SLICE_TEXTS], pa.large_string())))
+        first.append(begins[1:] + first[-1][-1])
+        parts.append(features)
+    if not parts:
+        return token_features(*utf8(pa.array(texts, pa.large_string())))[2:]
+    out = np.empty((int(first[-1][-1]), parts[0].shape[1]), np.uint64)
+    at = len(out)
+    while parts:
+        part = parts.pop()
+        out[at - len(part) : at] = part
+        at -= len(part)
+    return np.concatenate(first), out
+
+
 def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     """Fit on labelled texts; ``share`` is the share of toxic rows among all training labels."""
     order = sorted(range(len(texts)), key=lambda i: (texts[i], toxic[i]))
     keep = [i for k, i in enumerate(order) if not k or texts[i] != texts[order[k - 1]]]
     texts, toxic = [texts[i] for i in keep], np.asarray(toxic)[keep].astype(np.int64)
-    buf, offsets = utf8(pa.array(texts, pa.large_string()))
-    _, _, first, features = token_features(buf, offsets)
+    first, features = _sliced_features(texts)
     row = np.searchsorted(first, np.arange(len(features)), "right") - 1
     typical = typical_features(features, row, first, toxic) if len(features) else np.zeros(0, np.uint64)
-    known = _known(typical, features)
+    known = np.empty(features.shape, np.int32)
+    for lo in range(0, len(features), SLICE_TOKENS):
+        known[lo : lo + SLICE_TOKENS] = _known(typical, features[lo : lo + SLICE_TOKENS])
+    del features  # the driver's memory is small
     labels = ((known >= 0).any(1) & (toxic[row] == 1)).astype(np.int64)
     weights, bias, trans = train_crf(known, labels, first, len(typical))
     model = Model(typical, weights, bias, trans)
