@@ -14,12 +14,14 @@ PAGE_VALUES = 1000
 def in_pages(rows: DataFrame, keys: list[str], value: str, page_values: int = PAGE_VALUES) -> DataFrame:
     """``keys, page, values, n_before``: the values of each group in ascending order, cut into pages numbered from 0.
 
-    Rows are dealt out by ranges of group and value and written once; a task numbers what falls in its range, and the counts
+    Rows are dealt out by ranges of group and value and written; a task numbers what falls in its range, and the counts
     of the ranges before give the place in the group. So neither a task nor a row holds a whole group. Null values are
     left out, repeated ones stay, null keys are keys like others, and a group without values has no page.
     """
     sort = [*keys, value]
-    dealt = rows.where(F.col(value).isNotNull()).select(*sort).repartitionByRange(*sort).withColumn("__range", F.spark_partition_id())
+    # written first, as dealing by ranges reads its input twice
+    rows = written(rows.where(F.col(value).isNotNull()).select(*sort), "page-values")
+    dealt = rows.repartitionByRange(*sort).withColumn("__range", F.spark_partition_id())
     dealt = written(dealt, "pages")
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("__range", *keys).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("c")
