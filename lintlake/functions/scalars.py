@@ -63,13 +63,16 @@ def rule_family(rule_id: Column) -> Column:
 
 
 def overlap_family(rule_id: Column, title: Column) -> Column:
-    """Bit mask of the term families that occur in rule id or title."""
-    text = F.lower(F.concat_ws(" ", rule_id, title))
-    bits = [
-        F.when(reduce(lambda a, b: a | b, [text.contains(t) for t in terms]), 1 << i).otherwise(0)
-        for i, terms in enumerate(K.OVERLAP_FAMILIES)
-    ]
-    return reduce(lambda a, b: a + b, bits)
+    """Bit mask of the term families that occur in rule id or title; the text is put together once, not for each term."""
+
+    def mask(text: Column) -> Column:
+        bits = [
+            F.when(reduce(lambda a, b: a | b, [text.contains(t) for t in terms]), 1 << i).otherwise(0)
+            for i, terms in enumerate(K.OVERLAP_FAMILIES)
+        ]
+        return reduce(lambda a, b: a + b, bits)
+
+    return F.transform(F.array(F.lower(F.concat_ws(" ", rule_id, title))), mask)[0]
 
 
 def has_source(evidence: Column) -> Column:

@@ -35,3 +35,17 @@ def test_merge_in_one_large_file(spark, monkeypatch):
 
 def test_merge_of_nothing(spark):
     assert M.deduplicate(frame(spark, []), ORDER).collect() == []
+
+
+def test_lone_findings_need_no_island(spark, monkeypatch):
+    """Only findings that have others near their line, or that are at the border of a block, are put together to islands."""
+    seen, put_together = [], M.with_islands
+
+    def counted(rows, keys):
+        seen.append(sorted(r.line for r in rows.select("line").collect()))
+        return put_together(rows, keys)
+
+    monkeypatch.setattr(M, "with_islands", counted)
+    rows = [finding("sql-injection", x, "high", "a", "e", project="p", engine=0) for x in [3, 10, 11, 20, 22, 1023, 1024, 3000]]
+    got = M.deduplicate(frame(spark, rows), ORDER).collect()
+    assert seen == [[10, 11, 1023, 1024]] and sorted(r.line for r in got) == [3, 10, 20, 22, 1023, 3000]
