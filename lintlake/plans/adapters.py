@@ -215,9 +215,12 @@ def files_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_files(spark: SparkSession, sf_dir: str, select: str = CODE_LINES) -> DataFrame:
-    """Files put together from code lines; a file is one order's lines."""
-    lines = sql(spark, sf_dir, select)
-    files = lines.groupBy("project_id", "rel_path").agg(
+    """Files put together from code lines; a file is one order's lines.
+
+    The order is a key of its own, as lines are numbered by order: what is dealt by order need not be dealt again.
+    """
+    lines = sql(spark, sf_dir, select.replace("SELECT ", "SELECT l_orderkey, ", 1))
+    files = lines.groupBy("l_orderkey", "project_id", "rel_path").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content")
     )
-    return with_path_parts(files.withColumn("size", F.octet_length("content").cast("long")))
+    return with_path_parts(files.drop("l_orderkey").withColumn("size", F.octet_length("content").cast("long")))
