@@ -133,16 +133,21 @@ def k8s_missing_limits(lines: DataFrame) -> DataFrame:
 def run_block_flag(lines: DataFrame) -> DataFrame:
     """Add ``in_run``: the line belongs to a ``run:`` block (the key's own line too).
 
-    A block ends at the first later line, neither blank nor a comment, that is indented no more than its key.
+    A block ends at the first later line, neither blank nor a comment, that is indented no more than its key. So a line is
+    in a block if the last line so far that opened or ended one opened it: one order of a file's lines tells all, and
+    lines are sorted once, without what can be made from their text again.
     """
-    order = Window.partitionBy(*FILE).orderBy("line")
-    rows = _indented(lines).withColumn("run", F.col("s").rlike(r"(?i)^run\s*:"))
-    rows = rows.withColumn("block", F.sum(F.col("run").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    inner = Window.partitionBy(*FILE, "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("key_indent", F.first(F.when(F.col("run"), F.col("indent")), ignorenulls=True).over(inner))
-    ends = ~F.col("run") & (F.col("s") != "") & ~F.col("s").startswith("#") & (F.col("indent") <= F.col("key_indent"))
-    rows = rows.withColumn("ended", F.max(F.coalesce(ends, F.lit(False)).cast("int")).over(inner))
-    return rows.withColumn("in_run", (F.col("block") > 0) & (F.col("ended") == 0)).drop("block", "key_indent", "ended", "run")
+    so_far = Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    s, run = F.col("s"), F.col("run")
+    rows = _indented(lines).withColumns({"run": s.rlike(r"(?i)^run\s*:"), "solid": (s != "") & ~s.startswith("#")}).drop("s")
+    rows = rows.withColumns({
+        "block": F.sum(run.cast("int")).over(so_far),
+        "key_indent": F.last(F.when(run, F.col("indent")), ignorenulls=True).over(so_far),
+    })
+    ends = ~run & F.col("solid") & (F.col("indent") <= F.col("key_indent"))
+    rows = rows.withColumn("open", F.last(F.when(run, True).when(ends, False), ignorenulls=True).over(so_far))
+    in_run = (F.col("block") > 0) & F.coalesce("open", F.lit(True))
+    return rows.select(*lines.columns, strip(F.col("text")).alias("s"), "indent", in_run.alias("in_run"))
 
 
 def scan_actions(lines: DataFrame) -> DataFrame:
