@@ -73,11 +73,12 @@ def components(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.join(groups, ["project_id", "family"]), groups
 
 
-def _pairs_outside(nodes: DataFrame, flags: dict[str, tuple[Column, Column]]) -> DataFrame:
+def _pairs_outside(nodes: DataFrame, near: DataFrame, flags: dict[str, tuple[Column, Column]]) -> DataFrame:
     """Per component and name: ordered pairs of different findings (first flag, second flag) that differ in file and family.
 
     Pairs in all, less those of one file, less those of one family, and back those of one file and family; each
-    count is a sum of products of sums, so no pair is formed.
+    count is a sum of products of sums, so no pair is formed. ``near`` are the nodes dealt by component and file: very many
+    files have few findings each, and their nodes are smaller than the sums of each.
     """
     n = F.col("n")
     total = None
@@ -86,7 +87,7 @@ def _pairs_outside(nodes: DataFrame, flags: dict[str, tuple[Column, Column]]) ->
         for name, (a, b) in flags.items():
             x, y = a.cast("long"), b.cast("long")
             sums += [F.sum(x * n).alias(f"{name}_x"), F.sum(y * n).alias(f"{name}_y"), F.sum(x * y * n).alias(f"{name}_b")]
-        by = nodes.groupBy("component", *keys).agg(*sums)
+        by = (near if "file" in keys else nodes).groupBy("component", *keys).agg(*sums)
         part = by.select("component", *[(F.lit(sign) * (F.col(f"{k}_x") * F.col(f"{k}_y") - F.col(f"{k}_b"))).alias(k) for k in flags])
         total = part if total is None else total.unionByName(part)
     return total.groupBy("component").agg(*[F.sum(k).alias(k) for k in flags])
@@ -94,7 +95,8 @@ def _pairs_outside(nodes: DataFrame, flags: dict[str, tuple[Column, Column]]) ->
 
 def group_reasons(nodes: DataFrame) -> DataFrame:
     """``component, signals``: the sorted kinds of link of each group, each pair counting for its first kind."""
-    files = nodes.groupBy("component", "file").agg(F.sum("n").alias("k")).groupBy("component").agg(F.max("k").alias("by_file"))
+    near = nodes.repartition("component", "file")
+    files = near.groupBy("component", "file").agg(F.sum("n").alias("k")).groupBy("component").agg(F.max("k").alias("by_file"))
     fams = nodes.groupBy("component", "family").agg(F.countDistinct("file").alias("k")).groupBy("component").agg(F.max("k").alias("by_family"))
     # configuration links are the pairs with evidence, one of a configuration file, that are no source/sink pairs:
     # over the kinds (source, sink) of both ends, those that do not link
@@ -105,7 +107,7 @@ def group_reasons(nodes: DataFrame) -> DataFrame:
         for j in range(4):
             if not ((i & 2 and j & 1) or (j & 2 and i & 1)):
                 flags[f"c{i}{j}"] = ((kind == i) & evident & (F.col("c") == 1), (kind == j) & evident)
-    counts = _pairs_outside(nodes, flags)
+    counts = _pairs_outside(nodes, near, flags)
     cfg = sum((F.col(k) for k in flags if k != "st"), F.lit(0))
     every = files.join(fams, "component").join(counts, "component")
     signals = F.array_sort(
@@ -140,8 +142,8 @@ def correlate(findings: DataFrame, order: list[str]) -> tuple[DataFrame, DataFra
         F.min_by("severity", F.struct((-F.col("rank")).alias("r"), at.alias("o"))).alias("severity"),
         F.when(F.bool_and(F.lower("confidence") == "high"), "high").otherwise("medium").alias("confidence"),
         F.count("*").alias("n_findings"),
-    ).join(reasons, "component")
-    rows = rolled.select(
+    )
+    rows = rolled.join(reasons, "component").select(
         "project_id", "group_id", F.lit("risk_group").alias("kind"), F.lit("Related findings requiring review").alias("title"),
         "severity", "confidence", "n_findings", F.concat_ws("; ", "signals").alias("rationale"), F.array_contains("signals", SOURCE_SINK).alias("has_attack_path"),
     )
