@@ -855,8 +855,9 @@ def _plan(spark, sf_dir, known="line <= 4"):
     f = findings(spark, sf_dir)
     old, new = f.where(known), f.where("line >= 3")
     t0 = F.lit("2023-01-01 00:00:00").cast("timestamp")
-    first = G.remediation_records(old, t0).dropDuplicates(["project_id", "fingerprint"])
-    chosen = first.where(F.substring("fingerprint", 1, 1) == "c").select("project_id", "fingerprint")
+    every = G.remediation_records(old, t0)
+    first = every.dropDuplicates(["project_id", "fingerprint"])
+    chosen = every.where(F.substring("fingerprint", 1, 1) == "c").select("project_id", "fingerprint")
     return G.approve_remediation(first, chosen, t0), G.remediation_records(new, _now()), new
 
 
