@@ -123,7 +123,7 @@ def html_escape(text: Column) -> Column:
 
 def shannon_entropy(text: Column) -> Column:
     """Bits for each character; an empty text has none. Letters are counted by what is left without them."""
-    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    letters = F.split(text, "")
     n = F.length(text)
     each = F.transform(F.array_distinct(letters), lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
     return F.when(n > 0, F.aggregate(each, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)

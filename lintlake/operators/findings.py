@@ -32,6 +32,10 @@ def rule_struct(rule_id: str, title: str, severity: str, cwe: str, confidence: s
 def as_findings(rows: DataFrame, engine: str, *keys: str) -> DataFrame:
     """Findings from rows with ``project_id, rel_path, line, evidence`` and the columns of a rule."""
     keys = keys or ("project_id",)
+    evidence = F.col("evidence")
+    # two characters tell whether there is anything to strip
+    ends = F.concat(F.substring(evidence, 1, 1), F.substring(evidence, -1, 1))
+    stripped = F.when(ends.rlike(r"(?U)[\s\x1c-\x1f]"), strip(evidence)).otherwise(evidence)
     return rows.select(
         *keys,
         F.lit(engine).alias("engine_id"),
@@ -41,7 +45,7 @@ def as_findings(rows: DataFrame, engine: str, *keys: str) -> DataFrame:
         F.lit("context-dependent").alias("cvss"),
         F.col("rel_path").alias("file"),
         F.col("line").cast("int").alias("line"),
-        F.substring(strip(F.col("evidence")), 1, K.MAX_EVIDENCE).alias("evidence"),
+        F.substring(stripped, 1, K.MAX_EVIDENCE).alias("evidence"),
         F.coalesce(F.try_element_at(literal_map(K.ADVICE), F.col("rule_id")), F.lit(K.DEFAULT_ADVICE)).alias("remediation"),
         F.lit("open").alias("status"),
     )

@@ -89,6 +89,10 @@ SELECT concat('p', CAST(l_suppkey % 20 AS STRING)) AS project_id, concat('conf/f
 FROM lineitem)
 """
 
+#: The rows of SECRET_LINES: lines are numbered first, so that texts and names are not dealt and sorted with them.
+_NUMBER = f"CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_KEY}) AS INT) AS line"
+NUMBERED_SECRET_LINES = SECRET_LINES.replace(_NUMBER, "line").replace("FROM lineitem", f"FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {_NUMBER} FROM lineitem)")
+
 #: Statements of programs with flows from input to a sink.
 STATEMENTS = {
     ".py": ["import os, pickle, hashlib", 'v = request.args["q"]', "os.system(v)", "v = 1", "conn.execute(v)", "pickle.loads(v)", "hashlib.md5(v)", "open(v)", 'conn.execute("select ?", (v,))'],

@@ -390,13 +390,13 @@ def _provider_sql(columns: str, lines: str = A.SECRET_LINES) -> str:
 @query("d5_secrets_providers", _provider_sql(f"project_id, rel_path AS file, line, rule_id, severity, trim({_HIDDEN}) AS evidence"))
 def d5_providers(spark, sf_dir):
     """Tokens of every provider, too short ones and placeholders among them, with their evidence."""
-    return detect.scan_secrets(A.sql(spark, sf_dir, A.SECRET_LINES)).select(*_OUT)
+    return detect.scan_secrets(A.sql(spark, sf_dir, A.NUMBERED_SECRET_LINES)).select(*_OUT)
 
 
 @query("d7_secret_history_providers", _provider_sql(f"project_id, md5(rel_path) AS commit, rel_path AS file, line, rule_id, md5(trim({_HIDDEN})) AS evidence_md5"))
 def d7_providers(spark, sf_dir):
     """The same lines as added lines of commits, one commit a file."""
-    patches = A.sql(spark, sf_dir, A.SECRET_LINES).select("project_id", F.md5("rel_path").alias("commit"), F.col("rel_path").alias("path"), "line", "text")
+    patches = A.sql(spark, sf_dir, A.NUMBERED_SECRET_LINES).select("project_id", F.md5("rel_path").alias("commit"), F.col("rel_path").alias("path"), "line", "text")
     return detect.scan_secret_history(patches).select("project_id", "commit", "file", "line", "rule_id", F.md5("evidence").alias("evidence_md5"))
 
 
