@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,14 +39,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lintlake-{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: compact, and columns can be pruned."""
+def written(df: DataFrame, label: str, lean: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: compact, and columns can be pruned.
+
+    ``lean``, for tables near the size of the input: by zstd, and the shuffle files that made the table go once it stands.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    if lean:
+        with _shuffles_removed(spark):
+            df.write.option("compression", "zstd").parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Let Spark remove the shuffle files of what runs within at its end, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder of ours."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -102,7 +102,7 @@ def x1(spark, sf_dir):
 def s2(spark, sf_dir):
     """History as documents of each project, written and read."""
     path = scratch_path(spark, "documents")
-    state.write_history(Q._lifecycle(spark, sf_dir)[2], path)
+    state.write_history(Q._lifecycle(spark, sf_dir)[2], path, compression="gzip")
     return state.read_state(spark, path, "history").select("fingerprint", "status", "times_seen", "first_seen", "last_seen")
 
 
