@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from lintlake.operators.scan import ORDER
 from lintlake.plans.lineage import written
 from lintlake.sources import state
 
@@ -75,6 +76,41 @@ def test_history_is_dealt_once_and_documents_may_be_compressed(spark, tmp_path):
         assert Counter(state.read_state(spark, str(tmp_path / name), "history").select(*columns).collect()) == want
 
 
+def _findings(spark, n=60_000):
+    return spark.range(0, n, 1, 4).selectExpr(
+        "concat('p', id % 5) as project_id", "0 as engine_rank", "concat('f', id) as file", "1 as line", "0 as rule_rank", "concat('rule-', id % 7) as rule_id", "concat('value ', id) as evidence",
+        "concat('Title of rule ', id % 7) as title", "if(id % 3 = 0, 'HIGH', 'LOW') as severity", "'CWE-1' as cwe", "'fix' as remediation",
+    )
+
+
+def test_entries_are_made_after_findings_are_dealt(spark, monkeypatch):
+    plans = {}
+
+    def spy(df, label, **how):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        return written(df, label, **how)
+
+    monkeypatch.setattr(state, "written", spy)
+    for parts, sign in ((state.sarif_parts, "structstojson|to_json|sha2"), (state.html_parts, "<td>")):
+        parts(_findings(spark, 100), ORDER)
+        above, below = plans["document-parts"].split("repartitionbyexpression")
+        assert any(x in above for x in sign.split("|")) and not any(x in below for x in sign.split("|")), plans["document-parts"]
+
+
+def test_digests_deal_parts_once_and_compressed(spark):
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for parts in (state.sarif_parts, state.html_parts):
+        before = _shuffles(spark)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50k")  # less than the parts, as for large reports
+        try:
+            got = state.part_digests(parts(_findings(spark), ORDER)).collect()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        left = _left(spark, before, 1)
+        assert len(got) == 5 and len(left) <= 1
+        assert sum(_shuffles(spark)[k] for k in left) < sum(r.n_bytes for r in got) / 4
+
+
 def test_history_of_the_query_is_compressed(spark, monkeypatch, tmp_path):
     from lintlake.plans import stored
 
